@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from contraluz.functions import text
 from contraluz.plans import (
@@ -27,10 +28,22 @@ REGISTRY: dict[str, Query] = {}
 
 def query(build: Callable[[Standin], DataFrame]) -> Callable[[Standin], DataFrame]:
     """Register a function of the stand-in inputs under its own name."""
-    REGISTRY[build.__name__] = lambda spark, folder: build(Standin(spark, folder))
+    REGISTRY[build.__name__] = lambda spark, folder: comparable(build(Standin(spark, folder)))
     return build
 
 
+def comparable(df: DataFrame) -> DataFrame:
+    """Money as double, a type every engine hands over alike. The jobs keep it decimal."""
+    return df.select(
+        *[
+            F.col(f.name).cast("double").alias(f.name)
+            if isinstance(f.dataType, DecimalType)
+            else F.col(f.name)
+            for f in df.schema
+        ]
+    )
+
+
 # scalar functions
 
 
@@ -61,7 +74,7 @@ def normalize_name(v: Standin) -> DataFrame:
 
 @query
 def partner_keys(v: Standin) -> DataFrame:
-    return v.partners().select("cnpj_basico", "nome_socio", "chave_socio")
+    return v.build_partners().select("cnpj_basico", "nome_socio", "chave_socio")
 
 
 def _date_texts(v: Standin) -> DataFrame:
@@ -127,7 +140,7 @@ def parse_decimal_comma(v: Standin) -> DataFrame:
 
 @query
 def sanctions_unified(v: Standin) -> DataFrame:
-    return v.sanctions()
+    return v.build_sanctions()
 
 
 @query
@@ -155,7 +168,7 @@ def sanction_class(v: Standin) -> DataFrame:
 
 @query
 def contracts_latest(v: Standin) -> DataFrame:
-    return v.contracts()
+    return v.build_contracts()
 
 
 @query
@@ -199,17 +212,17 @@ def universe(v: Standin) -> DataFrame:
 
 @query
 def partners_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.partners(), universe(v))
+    return register.restrict(v.build_partners(), v.universe())
 
 
 @query
 def companies_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.companies(), universe(v))
+    return register.restrict(v.build_companies(), v.universe())
 
 
 @query
 def establishments_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.establishments(), universe(v))
+    return register.restrict(v.build_establishments(), v.universe())
 
 
 @query
@@ -239,7 +252,7 @@ def _all_links(v: Standin) -> DataFrame:
     return links.links(v.held(), v.limit)
 
 
-REGISTRY["links"] = lambda spark, folder: _all_links(Standin(spark, folder))
+REGISTRY["links"] = lambda spark, folder: comparable(_all_links(Standin(spark, folder)))
 
 
 @query
@@ -249,7 +262,7 @@ def links_counts(v: Standin) -> DataFrame:
 
 @query
 def risk_degree0(v: Standin) -> DataFrame:
-    return v.sanctioned()
+    return risk.degree0(v.sanctions())
 
 
 @query
@@ -264,12 +277,12 @@ def successor_signal(v: Standin) -> DataFrame:
 
 @query
 def risk_degrees(v: Standin) -> DataFrame:
-    return v.risk()
+    return v.build_risk()
 
 
 @query
 def company_risk(v: Standin) -> DataFrame:
-    return v.company_risk()
+    return v.build_company_risk()
 
 
 @query

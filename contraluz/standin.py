@@ -6,6 +6,7 @@ ids, duplicates and republished rows), so the jobs run on them exactly as on the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -19,6 +20,8 @@ from contraluz.schemas import (
     REGISTER_ESTABLISHMENTS,
     REGISTER_PARTNERS,
 )
+from contraluz.session import scratch_dir
+from contraluz.tables import TableStore
 
 AS_OF = date(2000, 1, 1)
 LIMIT = 10
@@ -343,41 +346,79 @@ class Standin:
             },
         )
 
-    # tables built by the jobs
+    # tables built by the jobs: each stage reads the written tables of the stages before it
 
-    def sanctions(self) -> DataFrame:
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table as written in this session's scratch folder; built on first use."""
+        app = self.spark.sparkContext.applicationId
+        store = _STORES.get((app, self))
+        if store is None:
+            store = TableStore(self.spark, scratch_dir(self.spark, "tables"))
+            _STORES[(app, self)] = store
+        if name not in store.schemas:
+            return store.write(name, build())
+        return store.read(name)
+
+    def build_sanctions(self) -> DataFrame:
         return sanctions.unify_sanctions(
             self.raw_ceis(), self.raw_cnep(), self.raw_cepim(), self.raw_leniency(), self.as_of
         )
 
-    def contracts(self) -> DataFrame:
+    def sanctions(self) -> DataFrame:
+        return self.stored("sancoes", self.build_sanctions)
+
+    def build_contracts(self) -> DataFrame:
         return contracts.contracts_table(["F"], purchases=self.raw_purchases())
 
-    def partners(self) -> DataFrame:
+    def contracts(self) -> DataFrame:
+        return self.stored("contratos", self.build_contracts)
+
+    def build_partners(self) -> DataFrame:
         return register.partners_from_raw(self.raw_partners())
 
+    def partners(self) -> DataFrame:
+        return self.stored("socios", self.build_partners)
+
     def companies(self) -> DataFrame:
+        return self.stored("empresas", self.build_companies)
+
+    def build_companies(self) -> DataFrame:
         return register.companies_from_raw(self.raw_companies())
 
-    def establishments(self) -> DataFrame:
+    def build_establishments(self) -> DataFrame:
         return register.establishments_from_raw(self.raw_establishments())
 
+    def establishments(self) -> DataFrame:
+        return self.stored("estabelecimentos", self.build_establishments)
+
     def held(self) -> DataFrame:
-        return links.holdings(self.partners())
+        return self.stored("participacoes", lambda: links.holdings(self.partners()))
 
     def sanctioned(self) -> DataFrame:
-        return risk.degree0(self.sanctions())
+        return self.stored("grau0", lambda: risk.degree0(self.sanctions()))
 
-    def risk(self) -> DataFrame:
+    def build_risk(self) -> DataFrame:
         return risk.risk_degrees(
             self.held(), self.sanctioned(), self.establishments(), self.limit
         )
 
-    def company_risk(self) -> DataFrame:
+    def risk(self) -> DataFrame:
+        return self.stored("empresas_risco", self.build_risk)
+
+    def build_company_risk(self) -> DataFrame:
         return risk.company_risk(
             self.held(), self.sanctioned(), self.establishments(), self.limit
         )
 
+    def company_risk(self) -> DataFrame:
+        return self.stored("risco_por_empresa", self.build_company_risk)
+
+    def universe(self) -> DataFrame:
+        return self.stored(
+            "universo",
+            lambda: register.universe(self.sanctions(), self.contracts(), self.partners()),
+        )
+
     def names(self) -> DataFrame:
         return names(self.companies(), self.sanctions(), self.contracts())
 
@@ -385,3 +426,6 @@ class Standin:
         """Graph centres: companies with a leniency agreement in force."""
         agreements = self.sanctions().filter((F.col("fonte") == "LENIENCIA") & F.col("vigente"))
         return register.sanctioned_roots(agreements)
+
+
+_STORES: dict[tuple[str, Standin], TableStore] = {}
