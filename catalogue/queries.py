@@ -417,12 +417,13 @@ def graph_depth2_edges(v: Standin) -> DataFrame:
 
 @query
 def graph_nodes(v: Standin) -> DataFrame:
-    return graph.nodes(graph_depth2_edges(v), v.centres(), v.names(), v.company_risk())
+    edges = v.stored("grafo2", lambda: graph_depth2_edges(v))
+    return graph.nodes(edges, v.centres(), v.names(), v.company_risk())
 
 
 @query
 def graph_edge_bundles(v: Standin) -> DataFrame:
-    bundles = graph.edge_bundles(graph_depth1_edges(v))
+    bundles = graph.edge_bundles(v.stored("grafo1", lambda: graph_depth1_edges(v)))
     return bundles.withColumn("lista_socios", F.array_join("lista_socios", " / "))
 
 

@@ -120,17 +120,28 @@ def links(
     )
 
 
+def _tags(origins: DataFrame) -> list[str]:
+    return [c for c in origins.columns if c != "cnpj_basico"]
+
+
+def _touching(df: DataFrame, origins: DataFrame) -> DataFrame:
+    """Rows of the origins; with the tag columns of ``origins`` when it has any."""
+    return df.join(origins, "cnpj_basico", "inner" if _tags(origins) else "left_semi")
+
+
 def medium_links_seen(held: DataFrame, origins: DataFrame, limit: int) -> DataFrame:
-    """Medium links with an end in ``origins(cnpj_basico)``, as seen from that end."""
-    seen = (
+    """Medium links with an end in ``origins``, as seen from that end."""
+    seen = _touching(
         _name_groups(held, limit)
         .select("nome_socio", F.explode("membros").alias("m"), "membros")
-        .withColumn("cnpj_basico", F.col("m.cnpj_basico"))
-        .join(origins, "cnpj_basico", "left_semi")
+        .withColumn("cnpj_basico", F.col("m.cnpj_basico")),
+        origins,
     )
+    others = _counterparts(lambda o: o["cnpj_basico"] != F.col("m.cnpj_basico"))
     return seen.select(
+        *_tags(origins),
         F.col("cnpj_basico").alias("origem"),
-        F.explode(_counterparts(lambda o: o["cnpj_basico"] != F.col("m.cnpj_basico"))).alias("outra"),
+        F.explode(others).alias("outra"),
         F.col("nome_socio").alias("socio_comum"),
         F.lit("media").alias("confianca"),
     )
@@ -142,30 +153,29 @@ def links_from(
     limit: int = HYPERCONNECTOR_LIMIT,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Links with an end in ``origins(cnpj_basico)``, as seen from that end.
+    """Links with an end in ``origins(cnpj_basico, tags...)``, as seen from that end.
 
-    Columns: origem, outra, socio_comum, confianca. A link between two origins appears twice.
+    Columns: tags, origem, outra, socio_comum, confianca. ``origins`` is distinct; a link between
+    two origins appears once from each.
     """
-    names = ["nome_socio", "doc"]
+    names, tags = ["nome_socio", "doc"], _tags(origins)
     docs = documented(held)
-    mine = docs.join(origins, "cnpj_basico", "left_semi").select(
-        *names, F.col("cnpj_basico").alias("origem")
-    )
+    mine = _touching(docs, origins).select(*tags, *names, F.col("cnpj_basico").alias("origem"))
     theirs = docs.select(*names, F.col("cnpj_basico").alias("outra"))
     high = (
         grid_join(mine, theirs, names, "origem", "outra", cell_rows)
         .filter(F.col("origem") != F.col("outra"))
         .select(
+            *tags,
             "origem",
             "outra",
             F.col("nome_socio").alias("socio_comum"),
             F.lit("alta").alias("confianca"),
         )
     )
-    medium = medium_links_seen(held, origins, limit)
     return (
-        high.unionByName(medium)
-        .groupBy("origem", "outra", "socio_comum")
+        high.unionByName(medium_links_seen(held, origins, limit))
+        .groupBy(*tags, "origem", "outra", "socio_comum")
         .agg(F.min("confianca").alias("confianca"))
     )
 

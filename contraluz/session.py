@@ -27,6 +27,9 @@ def build_session(app_name: str = "contraluz", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
@@ -34,6 +37,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="contraluz-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="contraluz-")
+        base = _LOCAL_FOLDERS[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

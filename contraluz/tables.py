@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from contraluz.session import scratch_dir
+
 
 @dataclass
 class TableStore:
@@ -40,3 +42,11 @@ class TableStore:
         if name in self.schemas:
             reader = reader.schema(self.schemas[name])
         return reader.parquet(self.path(name))
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result that several branches of a plan read, and read it back.
+
+    Column pruning makes the branches differ, so Spark would otherwise compute it once for each.
+    """
+    return TableStore(df.sparkSession, scratch_dir(df.sparkSession, "stage")).write(label, df)
