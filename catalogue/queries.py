@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from catalogue import landing
 from contraluz.functions import text
+from contraluz.functions.charset import repair_bytes
 from contraluz.plans import (
     candidates,
     companies,
@@ -20,6 +22,9 @@ from contraluz.plans import (
     risk,
     sanctions,
 )
+from contraluz.schemas import REGISTER_ESTABLISHMENTS
+from contraluz.sources import archives, delimited, json_pages
+from contraluz.sources import landing as files
 from contraluz.standin import Standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +140,108 @@ def parse_decimal_comma(v: Standin) -> DataFrame:
     )
 
 
+# sources
+
+
+@query
+def scan_csv_header(v: Standin) -> DataFrame:
+    raw = delimited.read_with_header(v.spark, landing.customer_csv(v))
+    return raw.select(
+        F.col("c_custkey").cast("long").alias("c_custkey"),
+        "c_name",
+        F.col("c_nationkey").cast("int").alias("c_nationkey"),
+        F.col("c_acctbal").cast("double").alias("c_acctbal"),
+        "c_mktsegment",
+    )
+
+
+@query
+def scan_csv_headerless(v: Standin) -> DataFrame:
+    raw = delimited.read_headerless(
+        v.spark, landing.establishments_csv(v), REGISTER_ESTABLISHMENTS
+    )
+    return register.establishments_from_raw(raw)
+
+
+@query
+def header_repair(v: Standin) -> DataFrame:
+    raw = delimited.read_with_header(v.spark, landing.leniency_csv(v))
+    return sanctions.with_in_force(sanctions.from_leniency_layout(raw), v.as_of)
+
+
+@query
+def contracts_with_period(v: Standin) -> DataFrame:
+    raw = delimited.read_with_header(v.spark, landing.purchases_csv(v))
+    return contracts.from_purchases(delimited.with_period(raw))
+
+
+@query
+def encoding_repair(v: Standin) -> DataFrame:
+    lines = landing.mixed_lines(v)
+    return lines.select("doc_id", "linha_no", repair_bytes(F.col("bytes")).alias("linha"))
+
+
+@query
+def zip_csv_scan(v: Standin) -> DataFrame:
+    raw = archives.zip_with_header(v.spark, landing.purchases_zip(v), "_compras.csv")
+    return contracts.contracts_table(["F"], purchases=delimited.with_period(raw))
+
+
+@query
+def latest_snapshot(v: Standin) -> DataFrame:
+    return files.latest_snapshots(landing.snapshot_files(v))
+
+
+@query
+def month_range(v: Standin) -> DataFrame:
+    """Published rows per month of the range; months without any count as zero."""
+    published = v.table("lineitem").groupBy(
+        F.date_format("l_shipdate", "yyyyMM").alias("competencia")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    months = files.month_range(v.spark, "1994-11", v.as_of)
+    return months.join(published, "competencia", "left").select(
+        "competencia", F.coalesce("n", F.lit(0)).alias("publicados")
+    )
+
+
+@query
+def months_since(v: Standin) -> DataFrame:
+    return files.since_month(landing.purchase_files(v), "1997-06")
+
+
+@query
+def refresh_plan(v: Standin) -> DataFrame:
+    return files.refresh_plan(v.spark, landing.purchase_files(v), "1994-11", v.as_of)
+
+
+@query
+def pncp_pages_explode(v: Standin) -> DataFrame:
+    records = json_pages.read_contract_pages(v.spark, landing.contract_pages(v))
+    return records.select(
+        F.col("numeroControlePNCP").alias("numero"),
+        "competencia",
+        F.col("orgaoEntidade.esferaId").alias("esfera"),
+        F.col("valorGlobal").alias("valor"),
+    )
+
+
+@query
+def nested_json_contracts(v: Standin) -> DataFrame:
+    records = json_pages.read_contract_pages(v.spark, landing.contract_pages(v))
+    return contracts.from_json_records(records)
+
+
+@query
+def contracts_scope(v: Standin) -> DataFrame:
+    records = json_pages.read_contract_pages(v.spark, landing.contract_pages(v))
+    return contracts.contracts_table(["E", "M"], records=records, state="PR")
+
+
+@query
+def modality_lookup(v: Standin) -> DataFrame:
+    return json_pages.read_procurement_pages(v.spark, landing.procurement_pages(v))
+
+
 # sanctions and contracts
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contraluz.functions import text
 from contraluz.operators.dedup import keep_top, remaining_order
-from contraluz.schemas import CONTRACTS, MONEY
+from contraluz.schemas import CONTRACTS
 
 VERSION_KEY = ["numero_contrato", "ug_codigo", "cnpj_contratado"]
 SPHERES = ("F", "E", "M")
@@ -111,8 +111,8 @@ def from_json_records(records: DataFrame) -> DataFrame:
         F.col("objetoContrato").alias("objeto"),
         _null("situacao"),
         F.col("tipoContrato.nome").alias("modalidade"),
-        F.col("valorInicial").try_cast(MONEY).alias("valor_inicial"),
-        F.col("valorGlobal").try_cast(MONEY).alias("valor_final"),
+        F.col("valorInicial").alias("valor_inicial"),
+        F.col("valorGlobal").alias("valor_final"),
         F.col("dataAssinatura").try_cast("date").alias("data_assinatura"),
         F.col("dataVigenciaInicio").try_cast("date").alias("data_inicio_vigencia"),
         F.col("dataVigenciaFim").try_cast("date").alias("data_fim_vigencia"),

@@ -167,9 +167,9 @@ CONTRACT_RECORD = T.StructType(
                 [T.StructField("id", T.IntegerType()), T.StructField("nome", T.StringType())]
             ),
         ),
-        # read as text so that money never passes through a float
-        T.StructField("valorInicial", T.StringType()),
-        T.StructField("valorGlobal", T.StringType()),
+        # read as decimal so that money never passes through a float
+        T.StructField("valorInicial", MONEY),
+        T.StructField("valorGlobal", MONEY),
         T.StructField("dataAssinatura", T.StringType()),
         T.StructField("dataVigenciaInicio", T.StringType()),
         T.StructField("dataVigenciaFim", T.StringType()),

@@ -359,6 +359,15 @@ class Standin:
             return store.write(name, build())
         return store.read(name)
 
+    def landed(self, name: str, write: Callable[[str], None]) -> str:
+        """Folder of stand-in files written once per session; ``write`` gets the folder."""
+        key = (self.spark.sparkContext.applicationId, self, name)
+        if key not in _LANDED:
+            folder = scratch_dir(self.spark, name)
+            write(folder)
+            _LANDED[key] = folder
+        return _LANDED[key]
+
     def build_sanctions(self) -> DataFrame:
         return sanctions.unify_sanctions(
             self.raw_ceis(), self.raw_cnep(), self.raw_cepim(), self.raw_leniency(), self.as_of
@@ -429,3 +438,4 @@ class Standin:
 
 
 _STORES: dict[tuple[str, Standin], TableStore] = {}
+_LANDED: dict[tuple[str, Standin, str], str] = {}
