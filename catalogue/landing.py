@@ -203,10 +203,10 @@ def mixed_lines(v: Standin) -> DataFrame:
     """
     line = F.col("linha")
     latin = F.encode(line, "ISO-8859-1")
-    fits = ~line.rlike(r"[^\x00-\x7E -ÿ]")
+    fits = ~line.rlike(r"[^\x00-\x7E\xA0-\xFF]")
     ambiguous = F.is_valid_utf8(latin.cast("string"))
     return (
-        v.table("documents")
+        v.spread("documents")
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("linha_no", "linha"))
         .select(
             "doc_id",

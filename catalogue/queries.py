@@ -72,7 +72,7 @@ def normalize_cnpj(v: Standin) -> DataFrame:
 
 @query
 def normalize_name(v: Standin) -> DataFrame:
-    return v.table("documents").select(
+    return v.spread("documents").select(
         "doc_id", text.normalize_name(F.col("text")).alias("nome")
     )
 

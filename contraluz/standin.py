@@ -116,7 +116,16 @@ class Standin:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    # raw files
+    def spread(self, name: str) -> DataFrame:
+        """The table with at least one partition per core.
+
+        A test file is one row group, which a single task reads and renders while the rest idle. A
+        table of many files already has more partitions than cores and is left as it is.
+        """
+        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+    # renderings of the raw files
 
     def _sanction_orders(self, priority: str, status: str) -> DataFrame:
         wanted = (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
@@ -150,7 +159,7 @@ class Standin:
             "FUNDAMENTAÇÃO LEGAL": F.lit("Lei"),
         }
 
-    def raw_ceis(self) -> DataFrame:
+    def render_ceis(self) -> DataFrame:
         """Includes persons (11-digit ids) and exact duplicates."""
         copies = F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
             F.array(F.lit(1))
@@ -170,7 +179,7 @@ class Standin:
         values["CATEGORIA DA SANÇÃO"] = _choose(F.col("c_mktsegment"), CEIS_CATEGORY)
         return _in_layout(rows, CEIS_HEADER, values)
 
-    def raw_cnep(self) -> DataFrame:
+    def render_cnep(self) -> DataFrame:
         category = F.when(F.col("o_orderkey") % 2 == 0, F.lit("Multa")).otherwise(
             F.lit("Publicação extraordinária da decisão condenatória")
         )
@@ -179,7 +188,7 @@ class Standin:
         values["VALOR DA MULTA"] = money_text(F.col("o_totalprice"))
         return _in_layout(self._sanction_orders("1-URGENT", "P"), CNEP_HEADER, values)
 
-    def raw_cepim(self) -> DataFrame:
+    def render_cepim(self) -> DataFrame:
         return _in_layout(
             self._sanction_orders("1-URGENT", "O"),
             CEPIM_HEADER,
@@ -192,7 +201,7 @@ class Standin:
             },
         )
 
-    def raw_leniency(self) -> DataFrame:
+    def render_leniency(self) -> DataFrame:
         rows = self._sanction_orders("2-HIGH", "F").filter(F.col("o_orderkey") % 5 == 0)
         return _in_layout(
             rows,
@@ -210,10 +219,10 @@ class Standin:
             },
         )
 
-    def raw_purchases(self) -> DataFrame:
+    def render_purchases(self) -> DataFrame:
         """Line items as published contracts; repeated line numbers are republished contracts."""
         rows = (
-            self.table("lineitem")
+            self.spread("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -262,7 +271,7 @@ class Standin:
         )
         return layout
 
-    def raw_partners(self) -> DataFrame:
+    def render_partners(self) -> DataFrame:
         """Partner rows from line items of small quantity, accents added to the names."""
         document = (
             F.when(F.col("l_linenumber") == 7, F.lit(""))
@@ -272,7 +281,7 @@ class Standin:
             )
         )
         rows = (
-            self.table("lineitem")
+            self.spread("lineitem")
             .filter("l_quantity <= 15")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -300,7 +309,7 @@ class Standin:
             },
         )
 
-    def raw_companies(self) -> DataFrame:
+    def render_companies(self) -> DataFrame:
         """Every customer but each fourth; the rest exercise the name fallback."""
         return _in_layout(
             self.table("customer").filter("c_custkey % 4 <> 0"),
@@ -317,7 +326,7 @@ class Standin:
             },
         )
 
-    def raw_establishments(self) -> DataFrame:
+    def render_establishments(self) -> DataFrame:
         """A head office per customer and a branch for every fifth."""
         orders = F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("0001"), F.lit("0002"))).otherwise(
             F.array(F.lit("0001"))
@@ -346,6 +355,32 @@ class Standin:
             },
         )
 
+    # the rendered files, written once per session
+
+    def raw_ceis(self) -> DataFrame:
+        return self.stored("raw_ceis", self.render_ceis)
+
+    def raw_cnep(self) -> DataFrame:
+        return self.stored("raw_cnep", self.render_cnep)
+
+    def raw_cepim(self) -> DataFrame:
+        return self.stored("raw_cepim", self.render_cepim)
+
+    def raw_leniency(self) -> DataFrame:
+        return self.stored("raw_leniencia", self.render_leniency)
+
+    def raw_purchases(self) -> DataFrame:
+        return self.stored("raw_compras", self.render_purchases)
+
+    def raw_partners(self) -> DataFrame:
+        return self.stored("raw_socios", self.render_partners)
+
+    def raw_companies(self) -> DataFrame:
+        return self.stored("raw_empresas", self.render_companies)
+
+    def raw_establishments(self) -> DataFrame:
+        return self.stored("raw_estabelecimentos", self.render_establishments)
+
     # tables built by the jobs: each stage reads the written tables of the stages before it
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
