@@ -46,9 +46,14 @@ def names(companies: DataFrame, sanctions: DataFrame, contracts: DataFrame) -> D
 
 
 def best_name(all_names: DataFrame) -> DataFrame:
-    """The name of best priority per company; equal priorities resolve to the smallest name."""
+    """The name of best priority per company; equal priorities resolve to the smallest name.
+
+    A company repeats the same name in all its contracts, so duplicates go first (by hash, before
+    the shuffle) and the sort-based minimum sees few rows.
+    """
     return (
-        all_names.groupBy("cnpj_basico")
+        all_names.distinct()
+        .groupBy("cnpj_basico")
         .agg(F.min(F.struct("prioridade", "nome")).alias("m"))
         .select("cnpj_basico", F.col("m.nome").alias("nome"), F.col("m.prioridade").alias("prioridade"))
     )

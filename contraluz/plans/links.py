@@ -110,14 +110,18 @@ def medium_links(held: DataFrame, limit: int = HYPERCONNECTOR_LIMIT) -> DataFram
     )
 
 
+def best_confidence() -> Column:
+    """Aggregate: ``alta`` if any row is. A boolean buffer keeps the aggregation hash-based."""
+    high = F.bool_or(F.col("confianca") == "alta")
+    return F.when(high, F.lit("alta")).otherwise(F.lit("media")).alias("confianca")
+
+
 def links(
     held: DataFrame, limit: int = HYPERCONNECTOR_LIMIT, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """All links, one row per (pair, partner); high confidence beats medium."""
     both = high_links(held, cell_rows).unionByName(medium_links(held, limit))
-    return both.groupBy("cnpj_a", "cnpj_b", "socio_comum").agg(
-        F.min("confianca").alias("confianca")  # 'alta' sorts before 'media'
-    )
+    return both.groupBy("cnpj_a", "cnpj_b", "socio_comum").agg(best_confidence())
 
 
 def _tags(origins: DataFrame) -> list[str]:
@@ -176,7 +180,7 @@ def links_from(
     return (
         high.unionByName(medium_links_seen(held, origins, limit))
         .groupBy(*tags, "origem", "outra", "socio_comum")
-        .agg(F.min("confianca").alias("confianca"))
+        .agg(best_confidence())
     )
 
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from contraluz.functions import text
 from contraluz.operators.hot_groups import CELL_ROWS
-from contraluz.plans.links import HYPERCONNECTOR_LIMIT, documented, links_from, medium_links_seen
+from contraluz.plans.links import (
+    HYPERCONNECTOR_LIMIT,
+    best_confidence,
+    documented,
+    links_from,
+    medium_links_seen,
+)
 from contraluz.plans.register import head_offices
 
 
@@ -75,7 +81,7 @@ def with_successor_signal(
         edges.join(related, "relacionada")
         .join(own, "cnpj_basico", "left")
         .groupBy("cnpj_basico", "relacionada", "socio_comum")
-        .agg(F.min("confianca").alias("confianca"), F.bool_or(_signal()).alias("indicio_sucessora"))
+        .agg(best_confidence(), F.bool_or(_signal()).alias("indicio_sucessora"))
     )
 
 

@@ -17,8 +17,10 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests",
         **{
-            "spark.master": "local[4]",
-            "spark.sql.shuffle.partitions": "4",
+            "spark.master": "local[8]",
+            "spark.sql.shuffle.partitions": "2",
+            # thousands of tiny plans: compiling each costs far more than running it
+            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",

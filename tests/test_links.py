@@ -139,15 +139,15 @@ def test_against_brute_force(spark, seed, cell):
     assert grouped.filter("`bool_or(indicio_sucessora)`").count() > 0
 
 
-@pytest.mark.parametrize("cell", [1, 3, 1000])
-def test_pairs_within_and_grid_join(spark, cell):
+@pytest.mark.parametrize("cell,few", [(1, 100), (3, 100), (3, 0), (1000, 100)])
+def test_pairs_within_and_grid_join(spark, cell, few):
     left = [("k", i) for i in range(17)] + [("m", i) for i in range(3)] + [("only", 1)]
     right = [("k", i) for i in range(11)] + [("m", 5)]
     ldf = spark.createDataFrame(left, "k string, a long")
     rdf = spark.createDataFrame(right, "k string, b long")
-    got = sorted(map(tuple, grid_join(ldf, rdf, ["k"], "a", "b", cell).select("k", "a", "b").collect()))
+    got = sorted(map(tuple, grid_join(ldf, rdf, ["k"], "a", "b", cell, few).select("k", "a", "b").collect()))
     assert got == sorted((k, a, b) for k, a in left for j, b in right if j == k)
-    pairs = sorted(map(tuple, pairs_within(ldf, ["k"], "a", cell).collect()))
+    pairs = sorted(map(tuple, pairs_within(ldf, ["k"], "a", cell, few).collect()))
     assert pairs == sorted(
         (k, a, b) for (k, a), (j, b) in combinations(sorted(left), 2) if k == j
     )
@@ -169,6 +169,6 @@ def test_hot_group_is_spread(spark):
         ]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert sum(sizes) == 4000 * 3999 // 2
     assert max(sizes) < sum(sizes) / 5
