@@ -15,6 +15,15 @@ from pyspark.sql import types as T
 from contraluz.session import scratch_dir
 
 
+def grouped_for(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Bring the rows of a storage partition together before a write.
+
+    Otherwise every task writes a file into every partition. Rebalancing, unlike a plain
+    repartition, also splits a storage partition that is much bigger than the others.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 @dataclass
 class TableStore:
     """Parquet tables below one folder."""
@@ -28,10 +37,10 @@ class TableStore:
 
     def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         """Replace the table and return it as read back."""
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer = grouped_for(df, partition_by).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        writer.option("partitionOverwriteMode", "static").parquet(self.path(name))
         self.schemas[name] = T.StructType(
             [T.StructField(f.name, f.dataType, True) for f in df.schema]
         )
