@@ -125,3 +125,8 @@ def successor_candidates(
         )
         .orderBy(F.desc("forca"), F.desc("valor_contratos"), "cnpj_basico", "relacionada", "socio_comum")
     )
+
+
+def export_candidates(ranked: DataFrame, folder: str) -> None:
+    """Write the ranked list as CSV with a header; files follow the ranking order."""
+    ranked.write.mode("overwrite").csv(folder, header=True)

@@ -162,6 +162,17 @@ def links_from(
     Columns: tags, origem, outra, socio_comum, confianca. ``origins`` is distinct; a link between
     two origins appears once from each.
     """
+    return (
+        links_seen(held, origins, limit, cell_rows)
+        .groupBy(*_tags(origins), "origem", "outra", "socio_comum")
+        .agg(best_confidence())
+    )
+
+
+def links_seen(
+    held: DataFrame, origins: DataFrame, limit: int, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """As :func:`links_from` before the best confidence per link is chosen; rows may repeat."""
     names, tags = ["nome_socio", "doc"], _tags(origins)
     docs = documented(held)
     mine = _touching(docs, origins).select(*tags, *names, F.col("cnpj_basico").alias("origem"))
@@ -177,11 +188,7 @@ def links_from(
             F.lit("alta").alias("confianca"),
         )
     )
-    return (
-        high.unionByName(medium_links_seen(held, origins, limit))
-        .groupBy(*tags, "origem", "outra", "socio_comum")
-        .agg(best_confidence())
-    )
+    return high.unionByName(medium_links_seen(held, origins, limit))
 
 
 def count_links(all_links: DataFrame) -> DataFrame:

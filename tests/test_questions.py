@@ -198,10 +198,13 @@ def test_graph_depth_two(spark, cell):
     assert {tuple(r)[:4] for r in graph.depth1_edges(held, centres, cell_rows=cell).collect()} < got
 
 
-def test_candidates(w):
-    rows = candidates.successor_candidates(
+def test_candidates(w, tmp_path):
+    ranked = candidates.successor_candidates(
         w.risk, w.sanctions, w.contracts, w.offices, w.names, w.as_of
-    ).collect()
+    )
+    candidates.export_candidates(ranked, str(tmp_path / "csv"))
+    assert w.spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+    rows = ranked.collect()
     assert [(r["cnpj_basico"], r["socio_comum"], r["forca"]) for r in rows] == [
         (HEIR, "ANA", 7), (HEIR, "JOAO DA SILVA", 7),
     ]
