@@ -59,20 +59,22 @@ class Vocabulary:
     def __init__(self, weights: np.ndarray, s: Settings) -> None:
         self.weights, self.s = weights, s
         self.place: dict[str, int] = {}
-        self.score, self.count = np.zeros(0), np.zeros(0)
+        self.score, self.count = np.zeros(1 << 14), np.zeros(1 << 14)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > _CACHED:
-            self.place, self.score, self.count = {}, np.zeros(0), np.zeros(0)
+            self.place.clear()
             new = list(words)
         if not new:
             return
         of, bucket = features(new, self.s)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        score = np.bincount(of, self.weights[bucket], minlength=len(new))
-        self.score = np.concatenate([self.score, score])
-        self.count = np.concatenate([self.count, np.bincount(of, minlength=len(new))])
+        held = len(self.place)
+        while held + len(new) > len(self.score):
+            self.score, self.count = np.tile(self.score, 2), np.tile(self.count, 2)
+        self.place.update(zip(new, range(held, held + len(new)), strict=True))
+        self.score[held : held + len(new)] = np.bincount(of, self.weights[bucket], minlength=len(new))
+        self.count[held : held + len(new)] = np.bincount(of, minlength=len(new))
 
 
 @dataclass(frozen=True)

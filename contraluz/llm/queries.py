@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contraluz.llm import chat, decontaminate, hilbert, licence, packing, simhash, topk
+from contraluz.llm import (
+    chat,
+    decontaminate,
+    hilbert,
+    html_blocks,
+    licence,
+    packing,
+    quality,
+    simhash,
+    topk,
+    toxicity,
+)
 from contraluz.llm.common import table
+from contraluz.llm.labelled import fold
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -51,6 +63,13 @@ def op1_licence(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_blocks.extracted(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(
@@ -60,6 +79,27 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scores(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", folds) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return _scores(quality.scored(docs, model), quality.FOLDS, quality.HELD_OUT, quality.ACCEPT)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return _scores(toxicity.scored(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.REJECT)
+
+
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -125,7 +165,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_licence,
+        op2_html,
         op3_simhash,
+        op4_quality,
+        op5_toxicity,
         op6_chat,
         op7_decontamination,
         op8_hilbert,
