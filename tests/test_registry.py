@@ -17,6 +17,8 @@ entry = importlib.util.module_from_spec(spec)
 sys.modules["spark_entry"] = entry
 spec.loader.exec_module(entry)
 sys.path.insert(0, str(ROOT / "tools"))
+from catalogue.oracle import oracle_sql as catalogue_sql  # noqa: E402
+from catalogue.queries import queries as catalogue_queries  # noqa: E402
 from check_oracle import _canonical  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="test tables not present")
@@ -35,10 +37,10 @@ def plan_of(df) -> str:
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue_queries()) == set(catalogue_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue_queries()))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, str(FOLDER))
     plan = plan_of(df)
