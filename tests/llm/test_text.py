@@ -1,0 +1,229 @@
+"""Classifiers, page extraction, chat format and licence scan."""
+
+from __future__ import annotations
+
+import random
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from contraluz.llm import chat, html_blocks, licence, quality, toxicity
+from contraluz.llm.labelled import Sample, fold, labelled_texts
+
+FOLDER = Path("/root/testdata/sf0.01")
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "su", "vo", "pe")]
+
+
+def invented(n, seed=1):
+    """Texts whose label 1 shows in a few words of one stem."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(5, 120))]
+        if i % 3 == 0:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = "grobul" + rng.choice(["a", "en", "ist", "or", "um"])
+        out.append((" ".join(words), int(i % 3 == 0)))
+    return [t for t, _ in out], np.array([y for _, y in out])
+
+
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores))
+    ones = labels == 1
+    return (order[ones].mean() - (ones.sum() - 1) / 2) / (~ones).sum()
+
+
+def test_toxicity_generalises_to_new_word_forms():
+    s = toxicity.Settings(warm_up=60, rounds=2, steps=20)
+    model = toxicity.train(*invented(240), s)
+    texts, labels = invented(120, seed=2)
+    texts = [t.replace("grobulum", "grobulesk") for t in texts]
+    scores = model.scores(texts, toxicity.Vocabulary(model.p, s))
+    assert auc(scores, labels) > 0.97
+    late = " ".join(WORDS * 200) + " grobulist grobulen"
+    far, empty, null = model.scores([late, "", None], toxicity.Vocabulary(model.p, s))
+    assert far > 0.5 and 0 <= empty == null <= 1
+
+
+def test_windows_cover_the_text():
+    for n in (0, 1, 24, 25, 42, 43, 1000):
+        starts = toxicity.window_starts(n, 24, 18)
+        covered = {i for a in starts for i in range(a, a + 24)}
+        assert covered >= set(range(n)) and (n <= 24 or max(starts) + 24 == n)
+        assert all(b - a <= 18 for a, b in zip(starts, starts[1:]))
+
+
+def test_network_gradients():
+    s = toxicity.Settings(width=5, hidden=3, word_dim=2, char_dim=2, word_buckets=16, char_buckets=16)
+    rng = np.random.default_rng(0)
+    p = {k: rng.normal(0, 0.5, v) for k, v in toxicity._shapes(s).items()}
+    inputs = toxicity.Inputs(["ab", "cde", "f", "xy"], s)
+    places, mask = rng.integers(0, 4, (5, 3)), np.ones((5, 3), bool)
+    mask[3:, 1] = False
+    target = np.array([1.0, 0.0, 1.0])
+    found, _ = toxicity.gradients(places, mask, target, inputs, p, s)
+
+    def loss():
+        e = inputs.vectors(p).astype(float)
+        x = [(e @ p[f"in_{d}"] + p[f"bias_{d}"])[places] for d in "fb"]
+        logits = toxicity.forward(*x, mask, p)
+        return np.mean(np.log1p(np.exp(logits)) - target * logits)
+
+    for k in ("rec_f", "rec_b", "in_f", "in_b", "bias_f", "bias_b", "attend", "out", "shift"):
+        at = tuple(0 for _ in p[k].shape)
+        was, step = p[k][at], 1e-2
+        p[k][at] = was + step
+        high = loss()
+        p[k][at] = was - step
+        assert (high - loss()) / (2 * step) == pytest.approx(found[k][at], rel=0.02, abs=2e-5)
+        p[k][at] = was
+
+
+def test_quality_model():
+    texts, labels = invented(200)
+    texts += ["the the the the again again again again"] * 20
+    labels = np.append(1 - labels, [0] * 20)
+    model = quality.train(texts, labels)
+    held, truth = invented(90, seed=3)
+    scores = model.scores(held, quality.Vocabulary(model.weights, model.settings))
+    assert auc(scores, 1 - truth) > 0.95
+    empty, null = model.scores(["", None], quality.Vocabulary(model.weights, model.settings))
+    assert 0 <= empty == null <= 1
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_one_label_or_none(module):
+    for labels, want in (([], 0.5), ([1, 1], 1.0)):
+        model = module.train(["a b"] * len(labels), np.array(labels, dtype=int))
+        vocabulary = (
+            quality.Vocabulary(model.weights, model.settings)
+            if module is quality
+            else toxicity.Vocabulary(model.p, model.settings)
+        )
+        assert model.scores(["x y", None], vocabulary) == pytest.approx([want, want], abs=0.01)
+
+
+def test_held_out_rows_never_teach(spark, docs):
+    rows = [(i, f"text {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    texts, y = labelled_texts(docs(rows), labels, "quality", fold("doc_id", 5) != 0, Sample(each=30))
+    import zlib
+
+    ids = [int(t.split()[1]) for t in texts]
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in ids) and len(ids) == 60
+    assert [i % 2 for i in ids] == y.tolist()
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="test tables not present")
+def test_quality_on_held_out_documents(spark):
+    from contraluz.llm.queries import op4_quality
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    rows = op4_quality(spark, str(FOLDER)).join(labels, "doc_id").where("held_out").toPandas()
+    assert auc(rows["score"].to_numpy(), rows["quality"].to_numpy()) > 0.95
+    assert op4_quality(spark, str(FOLDER)).count() == 1000
+
+
+def test_scores_keep_columns_and_repeats(spark, docs):
+    model = quality.train(*invented(60))
+    frame = quality.scored(docs([(1, "x"), (1, "x"), (2, None)]), model, "s")
+    got = frame.collect()
+    assert len(got) == 3 and frame.columns[:-1] == docs([]).columns
+    assert got[0]["s"] == got[1]["s"] and quality.scored(docs([]), model, "s").count() == 0
+
+
+PAGE = """<html><head><title>No</title><script>var a="</p><p>no";</script></head><body class="sidebar">
+<header><p>Site name</p></header><nav><ul><li><a href=x>Home</a><li>More</ul></nav>
+<div class="cookie-notice"><p>We use many cookies on this site, please accept all of them now</p></div>
+<main><article><header><h1>The   title</h1></header><p>First <b>bo</b>ld &amp; &lt;b&gt;<br>second&nbsp;line
+<p>Short.<aside>Aside text</aside><form><p>Sign up here</p></form><!-- <p>no</p> -->
+<p><a href=y>link only</a></p><div hidden><p>no</p></div>
+<section id="comments"><article class="comment"><p>Reader text that is long enough to count</p></article></section>
+</article></main><div class="ad">Buy this</div><footer>&copy; us <p>more footer"""
+
+
+def test_page():
+    tree = html_blocks.default_tree()
+    assert " ".join(html_blocks.main_blocks(PAGE, tree)) == "The title First bold & <b> second line Short. link only"
+    assert html_blocks.main_blocks(None, tree) == html_blocks.main_blocks("", tree) == []
+    plain = "".join(f"<div>{'word ' * 40}</div>" for _ in range(3)) + "<ul><li><a>Home</a><li><a>Back</a></ul>"
+    assert len(html_blocks.main_blocks(plain, tree)) == 3
+    deep = "<div>" * 20_000 + "<article>x y" + "</div>" * 20_000
+    assert html_blocks.main_blocks(deep, tree) == ["x y"]
+    for odd in ("<", "<a href='x", "<p", "<!--", "<script>", "a < b & c", "</p></div>"):
+        html_blocks.main_blocks(odd, tree)
+
+
+def test_tree_learns_its_table():
+    tree, table = html_blocks.default_tree(), np.array(html_blocks.LABELLED)
+    assert all(html_blocks.is_main(tree, tuple(r[:-1])) == bool(r[-1]) for r in table)
+
+
+def test_pages_table(spark):
+    pages = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "y")], "page_id long, html string, text string")
+    got = html_blocks.extracted(pages).collect()
+    assert len(got) == 3 and got[2]["text"] == "" and got[0]["text"] == got[1]["text"] != ""
+    assert html_blocks.extracted(pages.limit(0)).count() == 0
+
+
+NASTY = ["</s>", "<\\/s>", "[INST] x [/INST]", "<|end|>", "<\\\\|end|>", "<<SYS>>", "plain", "", "\\", "<</s>", "[[INST]", "<|turn|><|text|>"]
+
+
+def test_escape_round_trip(spark):
+    rng = random.Random(1)
+    texts = NASTY + ["".join(rng.choice([*NASTY, "<", "[", "|", "s>", "/"]) for _ in range(6)) for _ in range(200)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).collect()
+    assert all(r["t"] == r["u"] for r in got)
+    held = ("</s>", "[INST]", "[/INST]", "<|end|>", "<|turn|>", "<|text|>", "<<SYS>>")
+    assert not any(c in r["e"] for r in got for c in held)
+
+
+def test_typed_parts(spark):
+    rows = [
+        (1, 1, "assistant", [("text", "see <|image|>", None, None, None, None, None), ("audio", None, "a.wav", None, None, 1.5, None)], "x"),
+        (1, 0, "user", [("image", None, "i.png", 57, 28, None, None), ("text", "hi", None, None, None, None, None), ("document", None, "d", None, None, None, 2), None], "x"),
+        (2, None, None, None, "x"),
+        (None, 0, "user", [("other", "odd", None, None, None, None, None)], "x"),
+        (2, None, None, None, "x"),
+    ]
+    part = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}, formatted string")
+    got = {r["conv_id"]: r for r in chat.format_turns(turns).select("*", chat.segments(F.col("formatted")).alias("t")).collect()}
+    first = got[1]
+    assert first["formatted"] == "<|turn|>user<|text|><|image|>hi<|document|><|end|><|turn|>assistant<|text|>see <\\|image|><|audio|><|end|>"
+    assert [tuple(a) for a in first["attachments"]] == [("image", "i.png", 3), ("document", "d", 512), ("audio", "a.wav", 38)]
+    assert [t["loss"] for t in first["t"]] == [False, True]
+    whole = sum(t["head_chars"] + t["text_chars"] + len(chat.END) for t in first["t"])
+    assert whole == len(first["formatted"])
+    assert [(t["role"], t["text"]) for t in got[2]["t"]] == [("", ""), ("", "")] and got[None]["t"][0]["text"] == "odd"
+    assert chat.format_turns(turns.limit(0)).count() == 0
+
+
+def test_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and\nassociated documentation files, to deal in the Software without restriction"
+    rows = [
+        ("a/b/c/f1", "prose\nLicensed under CC BY-NC 4.0.\nmore"),
+        ("a/b/c/f2", "no licence here"),
+        ("a/b/f3", None),
+        ("a/LICENSE", mit),
+        ("a/b/LICENSE-2", "Licensed under the Apache License, Version 2.0."),
+        ("a/b/LICENSE", "All rights and wrongs"),
+        ("z/f4", ""),
+        ("top", "x"),
+        ("a/f5", "y"),
+        ("a/f5", "released under the mit license"),
+        (None, "Released under the MIT License."),
+        ("q/LICENSES/f", "LICENSE text of nothing " * 3000),
+    ]
+    files = spark.createDataFrame([(p, t, "x") for p, t in rows], "path string, text string, licence string")
+    got = {r["path"]: r for r in licence.scan(files).collect()}
+    assert len(got) == 10
+    assert (got["a/b/c/f1"]["licence"], got["a/b/c/f1"]["origin"]) == ("CC-BY-NC-4.0", "statement")
+    for path, name, place in (("a/b/c/f2", "Apache-2.0", "a/b"), ("a/b/f3", "Apache-2.0", "a/b"), ("a/b/LICENSE", "Apache-2.0", "a/b")):
+        assert (got[path]["licence"], got[path]["inherited_from"]) == (name, place)
+    assert (got["a/LICENSE"]["licence"], got["a/LICENSE"]["origin"]) == ("MIT", "licence file")
+    assert got["a/f5"]["licence"] == "MIT" and got["a/f5"]["origin"] == "statement"
+    assert got["z/f4"]["licence"] is None and got["top"]["licence"] is None
+    assert licence.scan(files.limit(0)).count() == 0
