@@ -530,8 +530,7 @@ def graph_nodes(v: Standin) -> DataFrame:
 
 @query
 def graph_edge_bundles(v: Standin) -> DataFrame:
-    bundles = graph.edge_bundles(v.stored("grafo1", lambda: graph_depth1_edges(v)))
-    return bundles.withColumn("lista_socios", F.array_join("lista_socios", " / "))
+    return graph.edge_bundles(v.stored("grafo1", lambda: graph_depth1_edges(v)))
 
 
 def queries() -> dict[str, Query]:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 
 def keep_top(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int = 1
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int | None = 1
 ) -> DataFrame:
-    """First ``rows`` rows of every key.
+    """First ``rows`` rows of every key; all of them if ``rows`` is None.
 
     Spark plans this as a group limit before and after the shuffle, so a key with very many
     copies sends at most ``rows`` rows per map task.
     """
+    if rows is None:
+        return df
     window = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_rank", F.row_number().over(window))

@@ -32,13 +32,12 @@ SANCTION_MEMBERS = {
 
 @dataclass(frozen=True)
 class Scope:
-    """What to load: spheres, optional state and city, first month, sample mode."""
+    """What to load: spheres, optional state and city, first month."""
 
     spheres: Sequence[str] = ("F",)
     state: str | None = None
     city_code: str | None = None
     since: str = "2024-01"
-    sample: bool = False
 
     def __post_init__(self) -> None:
         contracts.check_spheres(self.spheres)
@@ -96,7 +95,7 @@ def load_register(store: TableStore, folder: str, scope: Scope) -> DataFrame:
     newest = landing.latest_folder(landing.list_files(spark, folder, "*.zip"))
 
     def read(prefix: str, names: list[str]) -> DataFrame:
-        pattern = landing.register_part_glob(prefix, scope.sample)
+        pattern = landing.register_part_glob(prefix)
         files = landing.list_files(spark, f"{folder.rstrip('/')}/{newest}", pattern)
         paths = [row["path"] for row in files.select("path").orderBy("path").collect()]
         if not paths:

@@ -16,8 +16,6 @@ from contraluz.operators.dedup import keep_top
 from contraluz.plans.contracts import running, with_root
 from contraluz.plans.register import head_offices
 
-SEARCH_LIMIT = 20
-SHEET_CONTRACTS = 100
 
 
 def _only(df: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -64,7 +62,7 @@ def search(
     establishments: DataFrame,
     risk_per_company: DataFrame,
     query: str,
-    limit: int = SEARCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Companies by root (8 or more digits typed) or by part of a name, alerts first.
 
@@ -81,7 +79,7 @@ def search(
         "cnpj_basico", F.col("nome").alias("razao_social")
     )
     offices = head_offices(establishments).select("cnpj_basico", "uf", "situacao_cadastral")
-    return (
+    listed = (
         found.join(offices, "cnpj_basico", "left")
         .distinct()
         .join(risk_per_company, "cnpj_basico", "left")
@@ -94,8 +92,8 @@ def search(
             F.coalesce("indicio_sucessora", F.lit(False)).alias("indicio_sucessora"),
         )
         .orderBy(F.asc_nulls_last("grau"), "razao_social", "cnpj_basico")
-        .limit(limit)
     )
+    return listed if limit is None else listed.limit(limit)
 
 
 def _like(value, pattern):
@@ -154,9 +152,17 @@ def sheet_registration(
     )
 
 
+def by_company(df: DataFrame, *order) -> DataFrame:
+    """Rows of a company side by side and in order; there is no order between companies.
+
+    Cheaper than sorting the whole table. A company far beyond the usual size is dealt to several tasks.
+    """
+    return df.hint("rebalance", "cnpj_basico").sortWithinPartitions("cnpj_basico", *order)
+
+
 def sheet_risk(risk: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    return _only(risk, roots).orderBy(
-        "cnpj_basico", "grau", F.desc("indicio_sucessora"), "relacionada", "socio_comum"
+    return by_company(
+        _only(risk, roots), "grau", F.desc("indicio_sucessora"), "relacionada", "socio_comum"
     )
 
 
@@ -164,22 +170,19 @@ def sheet_sanctions(sanctions: DataFrame, roots: DataFrame | None = None) -> Dat
     rows = sanctions.withColumn("cnpj_basico", text.company_root(F.col("cnpj_cpf"))).filter(
         F.col("cnpj_basico").isNotNull()
     )
-    return (
-        _only(rows, roots)
-        .select(
-            "cnpj_basico", "fonte", "categoria", "orgao", "uf_orgao", "esfera_orgao",
-            "data_inicio", "data_fim", "vigente", "processo", "cnpj_cpf",
-        )
-        .orderBy(
-            "cnpj_basico", F.desc("vigente"), F.desc_nulls_last("data_inicio"), "fonte", "processo"
-        )
+    shown = _only(rows, roots).select(
+        "cnpj_basico", "fonte", "categoria", "orgao", "uf_orgao", "esfera_orgao",
+        "data_inicio", "data_fim", "vigente", "processo", "cnpj_cpf",
+    )
+    return by_company(
+        shown, F.desc("vigente"), F.desc_nulls_last("data_inicio"), F.col("fonte"), F.col("processo")
     )
 
 
 def sheet_contracts(
-    contracts: DataFrame, roots: DataFrame | None = None, limit: int = SHEET_CONTRACTS
+    contracts: DataFrame, roots: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The contracts of highest value of every company, at most ``limit`` each."""
+    """The contracts of every company, or its ``limit`` of highest value."""
     rows = (
         with_root(contracts)
         .filter(F.col("raiz").isNotNull())
@@ -195,11 +198,10 @@ def sheet_contracts(
 
 
 def sheet_partners(partners: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    return (
-        _only(partners, roots)
-        .select("cnpj_basico", "nome_socio", "cpf_mascarado", "qualificacao", "data_entrada")
-        .orderBy("cnpj_basico", "nome_socio", "cpf_mascarado")
+    shown = _only(partners, roots).select(
+        "cnpj_basico", "nome_socio", "cpf_mascarado", "qualificacao", "data_entrada"
     )
+    return by_company(shown, "nome_socio", "cpf_mascarado")
 
 
 def badge(known: DataFrame, risk_per_company: DataFrame) -> DataFrame:

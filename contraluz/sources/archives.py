@@ -183,8 +183,9 @@ def zip_with_header(spark: SparkSession, archives: Sequence[str], member: str =
     """
     records = zip_records(spark, archives, member)
     firsts = zip_records(spark, archives, member, only_first=True)
-    headers = firsts.select(F.decode("record", "ISO-8859-1")).distinct()
-    found = {tuple(_header_names(row[0])) for row in headers.take(100)}
+    headers = firsts.select(F.decode("record", "ISO-8859-1").alias("h")).distinct()
+    # one spelling in the reference charset and one in another may stand for the same names
+    found = {tuple(_header_names(row["h"])) for row in headers.toLocalIterator()}
     if len(found) != 1:
         raise ValueError(f"expected one header in members like {member!r}, found {len(found)}")
     names = list(found.pop())

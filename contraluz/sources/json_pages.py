@@ -44,14 +44,17 @@ def check_modalities(codes: Iterable[int]) -> list[int]:
 def read_procurement_pages(
     spark: SparkSession, path: str, codes: Iterable[int] | None = None, multiline: bool = False
 ) -> DataFrame:
-    """Procurements of the given modalities (all known ones by default) with the modality name."""
-    wanted = check_modalities(MODALITIES if codes is None else codes)
-    lookup = modality_lookup(spark).filter(F.col("modalidade_id").isin(wanted))
+    """Procurements with the name of their modality; only those of ``codes`` if given.
+
+    Records of a modality without a name are kept, with a null name.
+    """
     rows = read_pages(spark, path, PROCUREMENT_RECORD, multiline).select(
         F.col("numeroControlePNCP").alias("numero"),
         F.col("modalidadeId").alias("modalidade_id"),
         F.col("objetoCompra").alias("objeto"),
         "competencia",
     )
+    if codes is not None:
+        rows = rows.filter(F.col("modalidade_id").isin(check_modalities(codes)))
     # the lookup has at most 14 rows
-    return rows.join(F.broadcast(lookup), "modalidade_id")
+    return rows.join(F.broadcast(modality_lookup(spark)), "modalidade_id", "left")

@@ -180,16 +180,6 @@ def test_full_batch(spark, tmp_path, as_of):
     assert tuple(radar) == (1, 1, Decimal("9999.99"))
 
 
-def test_sample_mode_reads_part_zero(spark, tmp_path, as_of):
-    landed = landed_files(tmp_path / "in")
-    store = TableStore(spark, str(tmp_path / "out"))
-    scope = batch.Scope(since="2025-03", sample=True)
-    batch.load_sanctions(store, landed.sanctions, as_of)
-    batch.load_contracts(store, landed, scope)
-    batch.load_register(store, landed.register, scope)
-    assert "66666666" not in {r[0] for r in store.read("universo").collect()}
-
-
 def test_state_and_city_scope_skips_purchases(spark, tmp_path):
     landed = landed_files(tmp_path / "in")
     folder = tmp_path / "in" / "pncp" / "competencia=202606"

@@ -17,61 +17,39 @@ OFFICES = (
 )
 
 
-@pytest.fixture
-def tables(spark):
-    sanctions = spark.createDataFrame(
-        [("11111111000101", True, date(2022, 1, 1)), ("44444444000104", False, date(2010, 1, 1)),
-         ("55555555", True, date(2020, 1, 1))],
-        "cnpj_cpf string, vigente boolean, data_inicio date",
-    )
-    partners = spark.createDataFrame(
-        [("11111111", "JOAO DA SILVA", "***123456**"), ("22222222", "JOAO DA SILVA", "***123456**"),
-         ("33333333", "JOAO DA SILVA", ""), ("55555555", "MARIA PEREIRA", "***999999**"),
-         ("44444444", "JOAO DA SILVA", "***123456**"), ("66666666", " ", ""), ("66666666", None, "")],
-        PARTNERS,
-    )
+def test_a_name_beyond_the_limit_links_nothing_by_name_alone(spark):
+    """Names in 3 to 7 companies, without documents, against a limit of 5."""
+    rows = [(f"{100 * size + i:08d}", f"NAME IN {size}", "") for size in range(3, 8) for i in range(size)]
+    held = links.holdings(spark.createDataFrame(rows, PARTNERS))
+    counts = links.medium_links(held, 5).groupBy("socio_comum").count().collect()
+    assert {r[0]: r[1] for r in counts} == {f"NAME IN {n}": n * (n - 1) // 2 for n in (3, 4, 5)}
+    beyond = {tuple(r) for r in links.hyperconnectors(held, 5).collect()}
+    assert beyond == {("NAME IN 6", 6), ("NAME IN 7", 7)}
+
+
+def test_successor_needs_all_of_its_conditions(spark):
+    """Company 0 is sanctioned; the others share its partner and miss one condition each."""
+    roots = [f"{70 + i:08d}" for i in range(5)]
+    held = links.holdings(spark.createDataFrame([(r, "X Y", "***555555**") for r in roots], PARTNERS))
+    late, early = date(2015, 2, 2), date(2001, 2, 2)
     offices = spark.createDataFrame(
-        [("11111111", "1", "4120400", "8105", "SC", date(2010, 5, 1)),
-         ("22222222", "1", "4120400", "8105", "SC", date(2023, 3, 1)),
-         ("33333333", "1", "9999999", "0001", "SP", date(2023, 3, 1)),
-         ("44444444", "1", "4120400", "8105", "SC", date(2005, 1, 1)),
-         ("33333333", "2", "4120400", "8105", "SC", date(2023, 3, 1))],
+        [(roots[0], "1", "11", "A", "UF", early), (roots[1], "1", "11", "A", "UF", late),
+         (roots[2], "1", "22", "A", "UF", late), (roots[3], "1", "11", "B", "UF", late),
+         (roots[4], "1", "11", "A", "UF", early)],
         OFFICES,
     )
-    return links.holdings(partners), risk.degree0(sanctions), offices
-
-
-def test_links_and_degrees(tables):
-    held, sanctioned, offices = tables
-    found = {(r[0], r[1]): (r[2], r[3]) for r in links.links(held).collect()}
-    assert found[("11111111", "22222222")] == ("JOAO DA SILVA", "alta")
-    assert found[("11111111", "33333333")] == ("JOAO DA SILVA", "media")
-    assert not any("55555555" in pair for pair in found)
-    assert [r["cnpj_basico"] for r in sanctioned.collect()] == ["11111111"]
-    rows = {r["cnpj_basico"]: r for r in risk.risk_degrees(held, sanctioned, offices).collect()}
-    one = {k: tuple(r)[2:] for k, r in rows.items() if r["grau"] == 1}
-    assert one == {
-        "22222222": ("11111111", "JOAO DA SILVA", "alta", True),
-        "33333333": ("11111111", "JOAO DA SILVA", "media", False),
-        "44444444": ("11111111", "JOAO DA SILVA", "alta", False),
-    }
-    assert rows["11111111"]["grau"] == 0
-    per = {r[0]: (r[1], r[2]) for r in risk.company_risk(held, sanctioned, offices).collect()}
-    assert per == {
-        "11111111": (0, False), "22222222": (1, True), "33333333": (1, False),
-        "44444444": (1, False),
+    sanctioned = risk.degree0(
+        spark.createDataFrame(
+            [(roots[0] + "000199", True, date(2012, 6, 6)), (roots[4] + "000199", False, early)],
+            "cnpj_cpf string, vigente boolean, data_inicio date",
+        )
+    )
+    found = risk.company_risk(held, sanctioned, offices).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == {
+        r: (0 if i == 0 else 1, i == 1) for i, r in enumerate(roots)
     }
 
 
-def test_hyperconnector(spark):
-    rows = [(f"{i:08d}", "FUNDO REPRESENTANTE", "") for i in range(25)]
-    rows += [(f"{i:08d}", "NO LIMITE", "") for i in range(20)]
-    held = links.holdings(spark.createDataFrame(rows, PARTNERS))
-    assert links.medium_links(held).filter("socio_comum = 'FUNDO REPRESENTANTE'").count() == 0
-    assert links.medium_links(held).count() == 20 * 19 // 2
-    assert [tuple(r) for r in links.hyperconnectors(held).collect()] == [("FUNDO REPRESENTANTE", 25)]
-
-
 def brute_links(rows, limit):
     """Links by definition, over distinct (company, name, document)."""
     best = {}

@@ -57,8 +57,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["contracts_latest", "sanctions_unified", "links_medium", "agency_suppliers",
-     "company_sheet_contracts"],
+    ["contracts_latest", "sanctions_unified", "links_medium"],
 )
 def test_ranked_queries_limit_before_the_shuffle(spark, name):
     plan = plan_of(entry.queries()[name](spark, str(FOLDER)))
@@ -71,3 +70,8 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert len(contracts) == 1 and "objeto" not in contracts[0].split("ReadSchema")[1]
     assert "PushedFilters: [IsNotNull(orgao_codigo)]" in contracts[0]
     assert "SortAggregate" not in plan_of(entry.queries()["links"](spark, str(FOLDER)))
+
+
+@pytest.mark.parametrize("name", ["company_sheet_risk", "company_sheet_sanctions", "company_sheet_partners"])
+def test_sheets_are_not_sorted_as_a_whole(spark, name):
+    assert "rangepartitioning" not in plan_of(entry.queries()[name](spark, str(FOLDER)))

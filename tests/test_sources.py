@@ -212,7 +212,7 @@ def test_modalities(spark, tmp_path):
     (folder / "1.json").write_text(json.dumps({"data": data, "totalPaginas": 1}))
     got = json_pages.read_procurement_pages(spark, str(tmp_path))
     assert {r["modalidade_id"]: r["modalidade"] for r in got.collect()} == {
-        6: "Pregão - Eletrônico", 8: "Dispensa",
+        6: "Pregão - Eletrônico", 8: "Dispensa", 99: None,
     }
     assert json_pages.read_procurement_pages(spark, str(tmp_path), [8]).count() == 1
     with pytest.raises(ValueError, match="modalities"):
