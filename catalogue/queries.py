@@ -319,17 +319,17 @@ def universe(v: Standin) -> DataFrame:
 
 @query
 def partners_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.build_partners(), v.universe())
+    return register.restrict(v.build_partners(), v.late_universe())
 
 
 @query
 def companies_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.build_companies(), v.universe())
+    return register.restrict(v.build_companies(), v.late_universe())
 
 
 @query
 def establishments_in_universe(v: Standin) -> DataFrame:
-    return register.restrict(v.build_establishments(), v.universe())
+    return register.restrict(v.build_establishments(), v.late_universe())
 
 
 @query

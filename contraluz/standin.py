@@ -25,6 +25,7 @@ from contraluz.tables import TableStore
 
 AS_OF = date(2000, 1, 1)
 LIMIT = 10
+SANCTIONED_SINCE, CONTRACTED_SINCE = "200107", "200110"
 
 # Official headers.
 CEIS_HEADER = [
@@ -117,25 +118,39 @@ class Standin:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """The table with at least one partition per core.
-
-        A test file is one row group, which a single task reads and renders while the rest idle. A
-        table of many files already has more partitions than cores and is left as it is.
-        """
-        rows, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        """The table over all cores: a test file is one row group, which a single task would render."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
 
     # renderings of the raw files
 
-    def _sanction_orders(self, priority: str, status: str) -> DataFrame:
-        wanted = (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
-        debtors = self.table("customer").filter("c_acctbal < 0")
+    def _sanction_orders(self, source: str) -> DataFrame:
+        """The orders of a register: every order is in one of the four.
+
+        Urgent orders, and some of high priority, of customers in debt are sanctions of companies;
+        all others are sanctions of persons, with 11-digit ids.
+        """
+        status, high = F.col("o_orderstatus"), F.col("o_orderpriority") == "2-HIGH"
+        register = (
+            F.when(status == "P", "CNEP")
+            .when(status == "O", "CEPIM")
+            .otherwise(F.when(high, "LENIENCIA").otherwise("CEIS"))
+        )
+        key = F.col("o_orderkey")
+        company = (
+            (F.col("c_acctbal") < 0)
+            & ((F.col("o_orderpriority") == "1-URGENT") | (high & (key % 5 == 0)))
+            & (key % 13 != 0)
+        )
+        person = F.lpad(F.col("c_custkey").cast("string"), 11, "0")
         return (
             self.table("orders")
-            .filter(wanted)
-            .join(debtors, F.col("o_custkey") == F.col("c_custkey"))
+            .filter(register == source)
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .withColumn("dia", F.col("o_orderdate").cast("date"))
-            .withColumn("cnpj", F.concat(root_of("c_custkey"), F.lit("000100")))
+            .withColumn(
+                "cnpj",
+                F.when(company, F.concat(root_of("c_custkey"), F.lit("000100"))).otherwise(person),
+            )
         )
 
     def _ceis_values(self, days: int) -> dict[str, Column]:
@@ -160,21 +175,11 @@ class Standin:
         }
 
     def render_ceis(self) -> DataFrame:
-        """Includes persons (11-digit ids) and exact duplicates."""
+        """Includes exact duplicates."""
         copies = F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
             F.array(F.lit(1))
         )
-        person = F.col("o_orderkey") % 13 == 0
-        rows = (
-            self._sanction_orders("1-URGENT", "F")
-            .withColumn("copia", F.explode(copies))
-            .withColumn(
-                "cnpj",
-                F.when(person, F.lpad(F.col("c_custkey").cast("string"), 11, "0")).otherwise(
-                    F.col("cnpj")
-                ),
-            )
-        )
+        rows = self._sanction_orders("CEIS").withColumn("copia", F.explode(copies))
         values = self._ceis_values(365)
         values["CATEGORIA DA SANÇÃO"] = _choose(F.col("c_mktsegment"), CEIS_CATEGORY)
         return _in_layout(rows, CEIS_HEADER, values)
@@ -186,11 +191,11 @@ class Standin:
         values = self._ceis_values(3650)
         values["CATEGORIA DA SANÇÃO"] = category
         values["VALOR DA MULTA"] = money_text(F.col("o_totalprice"))
-        return _in_layout(self._sanction_orders("1-URGENT", "P"), CNEP_HEADER, values)
+        return _in_layout(self._sanction_orders("CNEP"), CNEP_HEADER, values)
 
     def render_cepim(self) -> DataFrame:
         return _in_layout(
-            self._sanction_orders("1-URGENT", "O"),
+            self._sanction_orders("CEPIM"),
             CEPIM_HEADER,
             {
                 "CNPJ ENTIDADE": punctuated(F.col("cnpj")),
@@ -202,7 +207,7 @@ class Standin:
         )
 
     def render_leniency(self) -> DataFrame:
-        rows = self._sanction_orders("2-HIGH", "F").filter(F.col("o_orderkey") % 5 == 0)
+        rows = self._sanction_orders("LENIENCIA")
         return _in_layout(
             rows,
             LENIENCY_HEADER,
@@ -272,7 +277,11 @@ class Standin:
         return layout
 
     def render_partners(self) -> DataFrame:
-        """Partner rows from line items of small quantity, accents added to the names."""
+        """Line items as partner rows, accents added to the names.
+
+        A band of the quantity is part of the name, so a name is held by a few companies.
+        """
+        band = F.floor((F.col("l_quantity") - 1) / 7).cast("string")
         document = (
             F.when(F.col("l_linenumber") == 7, F.lit(""))
             .when(F.col("p_partkey") % 50 == 0, F.lit("***000000**"))
@@ -282,12 +291,13 @@ class Standin:
         )
         rows = (
             self.spread("lineitem")
-            .filter("l_quantity <= 15")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 "o_custkey",
-                F.concat(F.translate("p_name", "ae", "ãé"), F.lit("  "), "p_partkey").alias("nome"),
+                F.concat(
+                    F.translate("p_name", "ae", "ãé"), F.lit("  "), "p_partkey", F.lit(" "), band
+                ).alias("nome"),
                 document.alias("doc"),
             )
             .distinct()
@@ -463,6 +473,18 @@ class Standin:
             lambda: register.universe(self.sanctions(), self.contracts(), self.partners()),
         )
 
+    def late_universe(self) -> DataFrame:
+        """The universe of what happened since given months, which does not hold every company."""
+        late = F.date_format("data_inicio", "yyyyMM") >= SANCTIONED_SINCE
+        return self.stored(
+            "universo_recente",
+            lambda: register.universe(
+                self.sanctions().filter(late),
+                self.contracts().filter(F.col("competencia") >= CONTRACTED_SINCE),
+                self.partners(),
+            ),
+        )
+
     def names(self) -> DataFrame:
         return names(self.companies(), self.sanctions(), self.contracts())
 
