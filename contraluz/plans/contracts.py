@@ -20,8 +20,11 @@ def _null(name: str) -> Column:
     return F.lit(None).cast(CONTRACTS[name].dataType).alias(name)
 
 
-def from_purchases(raw: DataFrame) -> DataFrame:
-    """Federal purchase rows (official header plus ``competencia``) in the contracts layout."""
+def from_purchases(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Federal purchase rows (official header plus ``competencia``) in the contracts layout.
+
+    Columns of ``keep`` stay behind those of the layout.
+    """
     name = F.col("Nome Contratado")
     return raw.select(
         F.lit("PORTAL").alias("origem"),
@@ -46,6 +49,7 @@ def from_purchases(raw: DataFrame) -> DataFrame:
         text.parse_date_br(F.col("Data Assinatura Contrato")).alias("data_assinatura"),
         text.parse_date_br(F.col("Data Início Vigência")).alias("data_inicio_vigencia"),
         text.parse_date_br(F.col("Data Fim Vigência")).alias("data_fim_vigencia"),
+        *keep,
     ).filter(F.col("cnpj_contratado") != "")
 
 

@@ -6,6 +6,7 @@ unpacked to disk or held whole. Rewrite big archives as tables once.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import sys
@@ -29,6 +30,7 @@ from contraluz.sources.delimited import parse_record
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 1 << 20
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 BATCH_BYTES = 4 << 20
 # A record this long means an unbalanced quote; failing is better than swallowing the member.
 MAX_RECORD = 64 << 20
@@ -61,12 +63,21 @@ def _open(path: str) -> zipfile.ZipFile:
 
 
 def _lines(stream) -> Iterator[bytes]:
-    rest = b""
+    held, size, first = [], 0, True
     while chunk := stream.read(CHUNK):
-        *whole, rest = (rest + chunk).split(b"\n")
-        yield from whole
-    if rest:
-        yield rest
+        if first:
+            chunk, first = chunk.removeprefix(BYTE_ORDER_MARK), False
+        *whole, rest = chunk.split(b"\n")
+        if whole:
+            yield b"".join([*held, whole[0]])
+            yield from whole[1:]
+            held, size = [], 0
+        held.append(rest)
+        size += len(rest)
+        if size > MAX_RECORD:
+            raise ValueError(f"line longer than {MAX_RECORD} bytes")
+    if last := b"".join(held):
+        yield last
 
 
 def _records(stream) -> Iterator[bytes]:
@@ -198,4 +209,4 @@ def zip_with_header(spark: SparkSession, archives: Sequence[str], member: str =
 
 
 def _header_names(line: str) -> list[str]:
-    return repair_header([name.strip().strip('"') for name in line.split(";")])
+    return repair_header([name.strip() for name in next(csv.reader([line], delimiter=";"))])

@@ -1,8 +1,9 @@
 """Reload of late months as a stream over landed purchase files.
 
-The newest months are published incomplete and again later. Each landed file replaces its month:
-a micro-batch overwrites only the ``competencia`` partitions it carries, so replaying a batch after
-a failure gives the same table. Versions of one contract across months are resolved when the
+The newest months are published incomplete and again later. Each landed file replaces the file of
+the same name: a micro-batch overwrites only the (``competencia``, ``arquivo``) partitions it carries,
+so a month may come in several files, and replaying a batch after a failure gives the same table. A
+file that carries no rows replaces nothing. Versions of one contract across months are resolved when the
 contracts table is built (``plans.contracts.latest_versions``).
 """
 
@@ -25,13 +26,16 @@ def read_purchase_stream(spark: SparkSession, folder: str, header: Sequence[str]
     """Purchase files as they land, one file per micro-batch, oldest first."""
     raw = (
         spark.readStream.schema(strings(list(header)))
-        .options(header=True, multiLine=True, encoding="ISO-8859-1", **DIALECT)
+        .options(header=True, multiLine=True, encoding="ISO-8859-1", mode="FAILFAST", **DIALECT)
+        .options(columnPruning=False, enforceSchema=False)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", "1")
         .csv(folder)
     )
+    path = F.col("_metadata.file_path")
     fields = [repair_latin_text(F.col(f"`{name}`")).alias(name) for name in header]
-    return with_period(raw.select(*fields, F.col("_metadata.file_path").alias("_arquivo")))
+    name = F.element_at(F.split(path, "/"), -1).alias("arquivo")
+    return with_period(raw.select(*fields, path.alias("_arquivo"), name))
 
 
 def refresh_on_landing(
@@ -40,9 +44,9 @@ def refresh_on_landing(
     """Take in every file landed since the last run, then stop."""
 
     def replace_months(batch: DataFrame, _: int) -> None:
-        refresh_months(batch, table)
+        refresh_months(batch, table, ["competencia", "arquivo"])
 
-    published = from_purchases(read_purchase_stream(spark, folder, header))
+    published = from_purchases(read_purchase_stream(spark, folder, header), keep=["arquivo"])
     return (
         published.writeStream.foreachBatch(replace_months)
         .option("checkpointLocation", checkpoint)

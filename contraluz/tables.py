@@ -15,6 +15,14 @@ from pyspark.sql import types as T
 from contraluz.session import scratch_dir
 
 
+# months as folder names, which a read without a schema would take for numbers
+PERIODS = ("competencia",)
+
+
+def nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+
+
 def grouped_for(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Bring the rows of a storage partition together before a write.
 
@@ -41,16 +49,21 @@ class TableStore:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.option("partitionOverwriteMode", "static").parquet(self.path(name))
-        self.schemas[name] = T.StructType(
-            [T.StructField(f.name, f.dataType, True) for f in df.schema]
-        )
+        self.schemas[name] = nullable(df.schema)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        reader = self.spark.read
-        if name in self.schemas:
-            reader = reader.schema(self.schemas[name])
-        return reader.parquet(self.path(name))
+        """The table, also one that an earlier session wrote; partition columns are text."""
+        schema = self.schemas.get(name)
+        if schema is None:
+            found = self.spark.read.parquet(self.path(name))
+            schema = self.schemas[name] = T.StructType(
+                [
+                    T.StructField(f.name, T.StringType() if f.name in PERIODS else f.dataType)
+                    for f in found.schema
+                ]
+            )
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -11,62 +11,60 @@ from pyspark.sql import functions as F
 from contraluz import schemas
 from contraluz.plans import candidates, companies, graph, links, reports, risk
 
-ZERO, HEIR, CLEAN, ONLY, BARE = "11111111", "22222222", "33333333", "44444444", "66666666"
+# barred, opened later with the same partners, register only, contracts only, partners only
+ZERO, HEIR, CLEAN, ONLY, BARE = (f"5000000{n}" for n in range(1, 6))
 
 
 class World:
+    """Five companies, each of them known to other tables than the rest."""
+
     def __init__(self, spark):
-        def table(schema, rows):
-            names = schema.fieldNames()
-            return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-
-        self.spark = spark
-        self.as_of = date(2026, 1, 1)
-        self.companies = table(schemas.COMPANIES, [
-            {"cnpj_basico": ZERO, "razao_social": "CONSTRUTORA AÇAÍ LTDA", "porte": "03"},
-            {"cnpj_basico": HEIR, "razao_social": "SUCESSORA ENGENHARIA LTDA"},
-            {"cnpj_basico": CLEAN, "razao_social": "LIMPA E SEM VINCULO SA"},
-        ])
-        self.offices = table(schemas.ESTABLISHMENTS, [
-            {"cnpj": ZERO + "000195", "cnpj_basico": ZERO, "matriz_filial": "1",
-             "situacao_cadastral": "02", "data_inicio_atividade": date(2010, 1, 1),
-             "cnae_principal": "41", "uf": "SC", "municipio_codigo": "8105"},
-            {"cnpj": HEIR + "000110", "cnpj_basico": HEIR, "matriz_filial": "1",
-             "situacao_cadastral": "02", "data_inicio_atividade": date(2023, 6, 1),
-             "cnae_principal": "41", "uf": "SC", "municipio_codigo": "8105"},
-            {"cnpj": CLEAN + "000155", "cnpj_basico": CLEAN, "matriz_filial": "2", "uf": "SP"},
-        ])
-        self.sanctions = table(schemas.SANCTIONS, [
-            {"fonte": "CEIS", "categoria": "Inidoneidade", "data_inicio": date(2022, 1, 1),
-             "vigente": True, "processo": "P1", "cnpj_cpf": ZERO + "000195",
-             "nome": "CONSTRUTORA ACAI LTDA"},
+        self.spark, self.as_of = spark, date(2024, 7, 1)
+
+        def table(schema, columns, *rows):
+            """Rows of the given columns; all others of the schema are null."""
+            given = columns.split()
+            full = [dict(zip(given, row, strict=True)) for row in rows]
+            return spark.createDataFrame(
+                [tuple(row.get(name) for name in schema.fieldNames()) for row in full], schema
+            )
+
+        self.companies = table(
+            schemas.COMPANIES, "cnpj_basico razao_social porte",
+            (ZERO, "CERÂMICA SÃO TOMÉ", "01"), (HEIR, "TOMÉ REVESTIMENTOS", "05"), (CLEAN, "FARO", None),
+        )
+        self.offices = table(
+            schemas.ESTABLISHMENTS,
+            "cnpj_basico cnpj matriz_filial situacao_cadastral data_inicio_atividade cnae_principal uf "
+            "municipio_codigo",
+            (ZERO, ZERO + "000101", "1", "02", date(1999, 9, 9), "2342", "CE", "1389"),
+            (HEIR, HEIR + "000102", "1", "02", date(2021, 3, 3), "2342", "CE", "1389"),
+            (CLEAN, CLEAN + "000203", "2", "08", date(2005, 5, 5), "9001", "PA", "427"),
+        )
+        self.sanctions = table(
+            schemas.SANCTIONS, "processo cnpj_cpf nome fonte categoria data_inicio vigente",
+            ("2020/7", ZERO + "000101", "CERAMICA S TOME", "CNEP", "Declaração de inidoneidade",
+             date(2020, 7, 7), True),
             # a person whose id starts like a company root
-            {"fonte": "CEIS", "categoria": "Multa", "vigente": True, "processo": "P2",
-             "cnpj_cpf": CLEAN + "999", "nome": "PESSOA"},
-        ])
-        contract = {"origem": "PORTAL", "esfera": "F"}
-        self.contracts = table(schemas.CONTRACTS, [
-            {**contract, "numero_contrato": "C-1", "orgao_codigo": "26000", "orgao": "Ministério X",
-             "valor_final": Decimal(1000000), "data_fim_vigencia": date(2030, 1, 1),
-             "cnpj_contratado": ZERO + "000195", "nome_contratado": "CONSTRUTORA ACAI LTDA",
-             "objeto": "Objeto: Obra"},
-            {**contract, "numero_contrato": "C-2", "orgao_codigo": "27000", "orgao": "Ministério Y",
-             "valor_final": Decimal(5000), "data_fim_vigencia": date(2025, 12, 1),
-             "cnpj_contratado": ONLY + "000144", "nome_contratado": "SO NO CONTRATO LTDA"},
-            {**contract, "numero_contrato": "C-3", "orgao_codigo": "26000", "orgao": "Ministério X",
-             "valor_final": Decimal(70), "data_fim_vigencia": None,
-             "cnpj_contratado": HEIR + "000110", "nome_contratado": "SUCESSORA"},
-            {**contract, "numero_contrato": "C-4", "orgao_codigo": "26000", "orgao": "Ministério X",
-             "valor_final": Decimal(9), "data_fim_vigencia": date(2030, 1, 1),
-             "cnpj_contratado": ZERO + "123", "nome_contratado": "PESSOA FISICA"},
-        ])
-        self.partners = table(schemas.PARTNERS, [
-            {"cnpj_basico": ZERO, "nome_socio": "JOAO DA SILVA", "cpf_mascarado": "***123456**"},
-            {"cnpj_basico": HEIR, "nome_socio": "JOAO DA SILVA", "cpf_mascarado": "***123456**"},
-            {"cnpj_basico": ZERO, "nome_socio": "ANA", "cpf_mascarado": "***222222**"},
-            {"cnpj_basico": HEIR, "nome_socio": "ANA", "cpf_mascarado": "***222222**"},
-            {"cnpj_basico": BARE, "nome_socio": "SOCIO SEM EMPRESA", "cpf_mascarado": "***555555**"},
-        ])
+            ("2021/8", CLEAN + "888", "UMA PESSOA", "CEIS", "Multa", None, True),
+        )
+        self.contracts = table(
+            schemas.CONTRACTS,
+            "numero_contrato orgao_codigo orgao cnpj_contratado nome_contratado valor_final "
+            "data_fim_vigencia objeto",
+            ("X/10", "11", "Porto", ZERO + "000101", "CERAMICA TOME", Decimal(40000), date(2025, 5, 5),
+             "OBJETO: Telhas"),
+            ("X/11", "11", "Porto", HEIR + "000102", "REVESTIMENTOS", Decimal(300), None, None),
+            ("X/12", "11", "Porto", ZERO + "777", "OUTRA PESSOA", Decimal(2), date(2025, 5, 5), None),
+            ("Y/13", "22", "Farol", ONLY + "000104", "BARCOS E REDES", Decimal(6000), date(2024, 6, 30),
+             None),
+        )
+        shared = [("BIA NUNES", "***314159**"), ("RUI PAZ", "***271828**")]
+        self.partners = table(
+            schemas.PARTNERS, "cnpj_basico nome_socio cpf_mascarado",
+            *[(company, *person) for company in (ZERO, HEIR) for person in shared],
+            (BARE, "EVA LUZ", "***161803**"),
+        )
         self.held = links.holdings(self.partners)
         self.zero = risk.degree0(self.sanctions)
         self.risk = risk.risk_degrees(self.held, self.zero, self.offices)
@@ -87,20 +85,22 @@ def search(w, typed):
 
 
 def test_search(w):
-    (row,) = search(w, "acai")
-    assert (row["cnpj_basico"], row["grau"], row["uf"]) == (ZERO, 0, "SC")
-    (row,) = search(w, "22.222.222/0001-10")
-    assert (row["razao_social"], row["indicio_sucessora"]) == ("SUCESSORA ENGENHARIA LTDA", True)
-    (row,) = search(w, "con%to lt_a")
-    assert row["cnpj_basico"] == ONLY
-    assert search(w, "nada\\disso") == []
-    assert [r["grau"] for r in search(w, "LTDA")] == [0, 1, None]
+    def found(typed):
+        return {(r["cnpj_basico"], r["grau"], r["uf"], r["indicio_sucessora"]) for r in search(w, typed)}
+
+    assert found("ceramica sao") == {(ZERO, 0, "CE", False)}
+    assert found("50.000.002/0001-02") == {(HEIR, 1, "CE", True)}
+    assert found("bar%s e r_des") == {(ONLY, None, None, False)}  # wildcards of the typed text count
+    assert found("FARO") == {(CLEAN, None, None, False)}
+    assert found("no\\such") == set()
+    assert [r["grau"] for r in search(w, "re")] == [1, None]
 
 
 def test_best_name(w):
-    got = {r["cnpj_basico"]: r["nome"] for r in companies.best_name(w.names).collect()}
-    assert got[ZERO] == "CONSTRUTORA AÇAÍ LTDA" and got[ONLY] == "SO NO CONTRATO LTDA"
-    assert BARE not in got and got[CLEAN] == "LIMPA E SEM VINCULO SA"
+    assert {tuple(r)[:2] for r in companies.best_name(w.names).select("cnpj_basico", "nome").collect()} == {
+        (ZERO, "CERÂMICA SÃO TOMÉ"), (HEIR, "TOMÉ REVESTIMENTOS"), (CLEAN, "FARO"),
+        (ONLY, "BARCOS E REDES"),
+    }
 
 
 def test_sheet(w):
@@ -110,7 +110,7 @@ def test_sheet(w):
     assert set(rows) == {ZERO, HEIR, CLEAN, ONLY, BARE}
     assert rows[ZERO]["cadastro_receita_disponivel"] and rows[ZERO]["situacao"] == "Ativa"
     assert rows[CLEAN]["uf"] is None  # a branch is not a head office
-    assert rows[ONLY]["razao_social"] == "SO NO CONTRATO LTDA"
+    assert rows[ONLY]["razao_social"] == "BARCOS E REDES"
     assert not rows[ONLY]["cadastro_receita_disponivel"]
     assert rows[BARE]["razao_social"] is None
     asked = w.roots(BARE, "99999999")
@@ -118,15 +118,15 @@ def test_sheet(w):
 
     risks = companies.sheet_risk(w.risk, w.roots(HEIR)).collect()
     assert [(r["grau"], r["relacionada"], r["socio_comum"]) for r in risks] == [
-        (1, ZERO, "ANA"), (1, ZERO, "JOAO DA SILVA"),
+        (1, ZERO, "BIA NUNES"), (1, ZERO, "RUI PAZ"),
     ]
-    assert [r["processo"] for r in companies.sheet_sanctions(w.sanctions).collect()] == ["P1"]
+    assert [r["processo"] for r in companies.sheet_sanctions(w.sanctions).collect()] == ["2020/7"]
     assert companies.sheet_sanctions(w.sanctions, w.roots(HEIR)).count() == 0
     contracts = companies.sheet_contracts(w.contracts, w.roots(ZERO)).collect()
-    assert [(r["numero_contrato"], r["objeto_limpo"]) for r in contracts] == [("C-1", "Obra")]
+    assert [(r["numero_contrato"], r["objeto_limpo"]) for r in contracts] == [("X/10", "Telhas")]
     assert companies.sheet_contracts(w.contracts, limit=1).count() == 3
     partners = companies.sheet_partners(w.partners, w.roots(ZERO)).collect()
-    assert [r["nome_socio"] for r in partners] == ["ANA", "JOAO DA SILVA"]
+    assert [r["nome_socio"] for r in partners] == ["BIA NUNES", "RUI PAZ"]
 
 
 def test_badge(w):
@@ -139,28 +139,28 @@ def test_badge(w):
 def test_agencies(w):
     rows = reports.agencies_ranking(w.contracts, w.zero).collect()
     assert [(r["orgao"], r["contratos"], r["contratos_sob_alerta"]) for r in rows] == [
-        ("Ministério X", 3, 1), ("Ministério Y", 1, 0),
+        ("Porto", 3, 1), ("Farol", 1, 0),
     ]
-    assert rows[0]["valor_sob_alerta"] == 1000000 and rows[1]["valor_sob_alerta"] == 0
+    assert rows[0]["valor_sob_alerta"] == 40000 and rows[1]["valor_sob_alerta"] == 0
 
 
 def test_suppliers(w):
     totals = reports.supplier_totals(w.contracts, w.company_risk, w.as_of)
-    rows = reports.agency_suppliers(totals).filter("orgao_codigo = '26000'").collect()
+    rows = reports.agency_suppliers(totals).filter("orgao_codigo = '11'").collect()
     got = {(r["cnpj_basico"], r["grau"]): r for r in rows}
     assert set(got) == {(ZERO, 0), (HEIR, 1), (ZERO, None)}  # the person stays apart
     assert got[(ZERO, 0)]["contratos_vigentes"] == 1
     # two degree-1 rows do not double the value
-    assert got[(HEIR, 1)]["valor_total"] == 70 and got[(HEIR, 1)]["contratos_vigentes"] == 0
-    assert reports.agency_suppliers(totals, degree=0).filter("orgao_codigo = '27000'").count() == 0
+    assert got[(HEIR, 1)]["valor_total"] == 300 and got[(HEIR, 1)]["contratos_vigentes"] == 0
+    assert reports.agency_suppliers(totals, degree=0).filter("orgao_codigo = '22'").count() == 0
     head = {r["orgao_codigo"]: r for r in reports.agency_header(w.contracts, totals).collect()}
-    assert (head["26000"]["fornecedores"], head["26000"]["com_alerta"]) == (3, 2)
-    assert "99999" not in head
+    assert (head["11"]["fornecedores"], head["11"]["com_alerta"]) == (3, 2)
+    assert set(head) == {"11", "22"}
 
 
 def test_statistics(w):
     (row,) = reports.statistics(w.contracts, w.zero, w.company_risk, w.as_of).collect()
-    assert tuple(row) == (1, 1, 1, 1, 1, Decimal("1000000.00"))
+    assert tuple(row) == (1, 1, 1, 1, 1, Decimal("40000.00"))
     nothing = w.contracts.filter("false")
     (empty,) = reports.radar_summary(nothing, w.zero, w.as_of).collect()
     assert tuple(empty) == (0, 0, Decimal(0))
@@ -170,7 +170,7 @@ def test_graph(w):
     centres = w.roots(ZERO, CLEAN)
     edges = graph.depth1_edges(w.held, centres)
     assert {tuple(r) for r in edges.collect()} == {
-        (ZERO, ZERO, HEIR, "ANA", "alta"), (ZERO, ZERO, HEIR, "JOAO DA SILVA", "alta"),
+        (ZERO, ZERO, HEIR, "BIA NUNES", "alta"), (ZERO, ZERO, HEIR, "RUI PAZ", "alta"),
     }
     nodes = graph.nodes(edges, centres, w.names, w.company_risk).collect()
     assert {(r["centro"], r["id"], r["grau"]) for r in nodes} == {
@@ -204,9 +204,9 @@ def test_candidates(w, tmp_path):
     assert w.spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
     rows = ranked.collect()
     assert [(r["cnpj_basico"], r["socio_comum"], r["forca"]) for r in rows] == [
-        (HEIR, "ANA", 7), (HEIR, "JOAO DA SILVA", 7),
+        (HEIR, "BIA NUNES", 7), (HEIR, "RUI PAZ", 7),
     ]
-    assert rows[0]["razao_social_relacionada"] == "CONSTRUTORA AÇAÍ LTDA"
+    assert rows[0]["razao_social_relacionada"] == "CERÂMICA SÃO TOMÉ"
 
 
 def test_audit(w):
@@ -214,7 +214,7 @@ def test_audit(w):
     got = {r["cnpj_basico"]: r for r in rows.collect()}
     zero = got[ZERO]
     assert (zero["grau"], zero["sancoes"], zero["contratos"], zero["socios"]) == (0, 1, 1, 2)
-    assert zero["valor_contratos"] == 1000000 and got[BARE]["grau"] is None
+    assert zero["valor_contratos"] == 40000 and got[BARE]["grau"] is None
 
 
 def test_invariants(w):

@@ -9,8 +9,8 @@ from contraluz.standin import PURCHASE_HEADER
 from contraluz.streaming.refresh import refresh_on_landing
 
 
-def land(folder, batch, month, rows, when):
-    target = folder / batch / f"{month}_Compras.csv"
+def land(folder, batch, month, rows, when, part=""):
+    target = folder / batch / f"{month}_Compras{part}.csv"
     target.parent.mkdir(parents=True, exist_ok=True)
     lines = [";".join(f'"{c}"' for c in PURCHASE_HEADER)]
     lines += [";".join(f'"{r.get(c, "")}"' for c in PURCHASE_HEADER) for r in rows]
@@ -43,3 +43,14 @@ def test_late_month_replaces_itself(spark, tmp_path):
     got = {r["numero_contrato"]: r["valor_final"] for r in latest.collect()}
     assert got == {"C-1": Decimal("4.00"), "C-2": Decimal("2.00"), "C-3": Decimal("5.00")}
     assert latest.first()["nome_contratado_normalizado"] == "FORNECEDORA CAO"
+
+
+def test_a_month_in_two_files_keeps_both(spark, tmp_path):
+    landed, table, check = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    land(landed, "a", "202503", [row("C-1", "1,00")], 1_000_000, "_1")
+    land(landed, "a", "202503", [row("C-2", "2,00")], 1_000_001, "_2")
+    refresh_on_landing(spark, str(landed), PURCHASE_HEADER, table, check).awaitTermination()
+    land(landed, "b", "202503", [row("C-3", "3,00")], 1_000_002, "_2")
+    refresh_on_landing(spark, str(landed), PURCHASE_HEADER, table, check).awaitTermination()
+    got = spark.read.schema(CONTRACTS).parquet(table)
+    assert sorted(r["numero_contrato"] for r in got.collect()) == ["C-1", "C-3"]
