@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Members of one side in one join cell.
-CELL_ROWS = 10_000
+# Members of one side in one join cell, so that a cell gives about a million pairs at most.
+CELL_ROWS = 1_000
 # Hot keys up to this number are broadcast; more of them are joined by a salted shuffle.
 BROADCAST_KEYS = 50_000
 # Tasks over which the rows of a hot key are spread in that shuffle. The hot key table is copied

@@ -69,12 +69,15 @@ def load_sanctions(store: TableStore, folder: str, as_of: date) -> DataFrame:
     return sanctions.count_by_source(store.write("sancoes", table))
 
 
-def load_contracts(store: TableStore, landed: Landed, scope: Scope) -> DataFrame:
+def load_contracts(
+    store: TableStore, landed: Landed, scope: Scope, as_of: date | None = None
+) -> DataFrame:
+    """Contracts of the months from ``scope.since`` to that of ``as_of``, if given."""
     spark = store.spark
     purchases = records = None
     if "F" in scope.spheres:
         files = landing.list_files(spark, landed.purchases, "*_compras.zip")
-        paths = landing.purchase_paths(files, scope.since)
+        paths = landing.purchase_paths(files, scope.since, as_of)
         purchases = with_period(zip_with_header(spark, paths, "_compras.csv"))
     if set(scope.spheres) - {"F"}:
         if landed.contract_pages is None:
@@ -83,6 +86,8 @@ def load_contracts(store: TableStore, landed: Landed, scope: Scope) -> DataFrame
         records = read_contract_pages(spark, landed.contract_pages, multiline=True).filter(
             F.col("competencia") >= first
         )
+        if as_of is not None:
+            records = records.filter(F.col("competencia") <= f"{as_of:%Y%m}")
     table = contracts.contracts_table(
         scope.spheres, purchases, records, scope.state, scope.city_code
     )
@@ -168,7 +173,7 @@ def run(
     store = TableStore(spark, folder)
     counts = {
         "sancoes": load_sanctions(store, landed.sanctions, as_of),
-        "contratos": load_contracts(store, landed, scope),
+        "contratos": load_contracts(store, landed, scope, as_of),
         "cadastro": load_register(store, landed.register, scope),
         "vinculos": load_links(store, limit),
     }

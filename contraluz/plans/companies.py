@@ -17,7 +17,6 @@ from contraluz.plans.contracts import running, with_root
 from contraluz.plans.register import head_offices
 
 
-
 def _only(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return df

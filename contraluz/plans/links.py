@@ -95,8 +95,24 @@ def _counterparts(wanted: Callable[[Column], Column]) -> Column:
     return F.transform(linked, lambda o: o["cnpj_basico"])
 
 
-def medium_links(held: DataFrame, limit: int = HYPERCONNECTOR_LIMIT) -> DataFrame:
-    """Pairs with equal name where at least one side has no document; distinct."""
+def medium_links(
+    held: DataFrame, limit: int | None = HYPERCONNECTOR_LIMIT, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """Pairs with equal name where at least one side has no document; distinct.
+
+    Names of more than ``limit`` companies link nothing; with None every name links.
+    """
+    if limit is None:
+        members = _by_name(held)
+        bare = members.filter("sem_doc").select("nome_socio", F.col("cnpj_basico").alias("_sem"))
+        every = members.select("nome_socio", F.col("cnpj_basico").alias("_outra"))
+        pairs = grid_join(bare, every, ["nome_socio"], "_sem", "_outra", cell_rows)
+        return pairs.filter("_sem <> _outra").select(
+            F.least("_sem", "_outra").alias("cnpj_a"),
+            F.greatest("_sem", "_outra").alias("cnpj_b"),
+            F.col("nome_socio").alias("socio_comum"),
+            F.lit("media").alias("confianca"),
+        ).distinct()
     first = _name_groups(held, limit).select(
         "nome_socio", F.explode("membros").alias("m"), "membros"
     )
@@ -117,10 +133,10 @@ def best_confidence() -> Column:
 
 
 def links(
-    held: DataFrame, limit: int = HYPERCONNECTOR_LIMIT, cell_rows: int = CELL_ROWS
+    held: DataFrame, limit: int | None = HYPERCONNECTOR_LIMIT, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """All links, one row per (pair, partner); high confidence beats medium."""
-    both = high_links(held, cell_rows).unionByName(medium_links(held, limit))
+    both = high_links(held, cell_rows).unionByName(medium_links(held, limit, cell_rows))
     return both.groupBy("cnpj_a", "cnpj_b", "socio_comum").agg(best_confidence())
 
 
@@ -133,10 +149,30 @@ def _touching(df: DataFrame, origins: DataFrame) -> DataFrame:
     return df.join(origins, "cnpj_basico", "inner" if _tags(origins) else "left_semi")
 
 
-def medium_links_seen(held: DataFrame, origins: DataFrame, limit: int) -> DataFrame:
+def _groups_of(held: DataFrame, mine: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``held`` in a group of ``mine``, so that no other group is shuffled or ranked."""
+    return held.join(mine.select(*keys).distinct(), keys, "left_semi")
+
+
+def medium_links_seen(
+    held: DataFrame, origins: DataFrame, limit: int | None, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Medium links with an end in ``origins``, as seen from that end."""
+    own = held.join(origins.select("cnpj_basico").distinct(), "cnpj_basico", "left_semi")
+    near = _groups_of(held, own, ["nome_socio"])
+    if limit is None:
+        members = _by_name(near)
+        mine = _touching(members, origins).withColumnsRenamed(
+            {"cnpj_basico": "origem", "sem_doc": "_sem"}
+        )
+        theirs = members.withColumnsRenamed({"cnpj_basico": "outra", "sem_doc": "_outra_sem"})
+        both = grid_join(mine, theirs, ["nome_socio"], "origem", "outra", cell_rows)
+        return both.filter("origem <> outra and (_sem or _outra_sem)").select(
+            *_tags(origins), "origem", "outra", F.col("nome_socio").alias("socio_comum"),
+            F.lit("media").alias("confianca"),
+        )
     seen = _touching(
-        _name_groups(held, limit)
+        _name_groups(near, limit)
         .select("nome_socio", F.explode("membros").alias("m"), "membros")
         .withColumn("cnpj_basico", F.col("m.cnpj_basico")),
         origins,
@@ -154,7 +190,7 @@ def medium_links_seen(held: DataFrame, origins: DataFrame, limit: int) -> DataFr
 def links_from(
     held: DataFrame,
     origins: DataFrame,
-    limit: int = HYPERCONNECTOR_LIMIT,
+    limit: int | None = HYPERCONNECTOR_LIMIT,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Links with an end in ``origins(cnpj_basico, tags...)``, as seen from that end.
@@ -170,13 +206,13 @@ def links_from(
 
 
 def links_seen(
-    held: DataFrame, origins: DataFrame, limit: int, cell_rows: int = CELL_ROWS
+    held: DataFrame, origins: DataFrame, limit: int | None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """As :func:`links_from` before the best confidence per link is chosen; rows may repeat."""
     names, tags = ["nome_socio", "doc"], _tags(origins)
     docs = documented(held)
     mine = _touching(docs, origins).select(*tags, *names, F.col("cnpj_basico").alias("origem"))
-    theirs = docs.select(*names, F.col("cnpj_basico").alias("outra"))
+    theirs = _groups_of(docs, mine, names).select(*names, F.col("cnpj_basico").alias("outra"))
     high = (
         grid_join(mine, theirs, names, "origem", "outra", cell_rows)
         .filter(F.col("origem") != F.col("outra"))
@@ -188,7 +224,7 @@ def links_seen(
             F.lit("alta").alias("confianca"),
         )
     )
-    return high.unionByName(medium_links_seen(held, origins, limit))
+    return high.unionByName(medium_links_seen(held, origins, limit, cell_rows))
 
 
 def count_links(all_links: DataFrame) -> DataFrame:

@@ -138,6 +138,9 @@ def test_all_stages(spark, tmp_path, as_of, landed):
     assert counts["vinculos"].first().asDict() == {
         "vinculos": 1, "vinculos_alta": 1, "grau0": 5, "grau1": 1, "indicio_sucessora": 1,
     }
+    early = TableStore(spark, str(tmp_path / "early"))
+    until = batch.load_contracts(early, landed, batch.Scope(since="2024-01"), date(2024, 1, 31))
+    assert [tuple(r) for r in until.collect()] == [("PORTAL", 1)]
     assert tuple(counts["radar"].first()) == (1, 1, Decimal("130.00"))
 
     store = TableStore(spark, out)

@@ -62,7 +62,7 @@ def brute_links(rows, limit):
         key = (min(r1, r2), max(r1, r2), n1)
         if d1 == d2 and d1 not in ("", "000000"):
             best[key] = "alta"
-        elif "" in (d1, d2) and len(companies[n1]) <= limit:
+        elif "" in (d1, d2) and (limit is None or len(companies[n1]) <= limit):
             best.setdefault(key, "media")
     return best
 
@@ -77,6 +77,31 @@ def random_holdings(seed, hot):
     return sorted(rows)
 
 
+@pytest.mark.parametrize("cell", [4, 10_000])
+def test_links_without_the_rule_on_frequent_names(spark, cell):
+    rows = random_holdings(5, hot=1 / 3)
+    held = spark.createDataFrame(rows, "cnpj_basico string, nome_socio string, doc string")
+    want = brute_links(rows, None)
+    assert {tuple(r)[:3]: r[3] for r in links.links(held, None, cell).collect()} == want
+    origins = spark.createDataFrame([(f"{i:08d}",) for i in range(0, 60, 9)], "cnpj_basico string")
+    seen = {(r["origem"], r["outra"], r["socio_comum"]): r["confianca"]
+            for r in links.links_from(held, origins, None, cell).collect()}
+    wanted = {r[0] for r in origins.collect()}
+    assert seen == {
+        (one, other, n): c
+        for (a, b, n), c in want.items()
+        for one, other in ((a, b), (b, a))
+        if one in wanted
+    }
+
+
+def test_only_names_of_the_origins_are_grouped(spark):
+    held = spark.createDataFrame([("1", "A", "")], "cnpj_basico string, nome_socio string, doc string")
+    plan = links.medium_links_seen(held, spark.createDataFrame([("1",)], "cnpj_basico string"), 5)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Window [") < text.index("LeftSemi, (nome_socio")
+
+
 @pytest.mark.parametrize("seed,cell", [(1, 10_000), (2, 4), (3, 1)])
 def test_against_brute_force(spark, seed, cell):
     """A third of the rows share one name; tiny cells force the split of hot groups."""

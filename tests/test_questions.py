@@ -196,6 +196,16 @@ def test_graph_depth_two(spark, cell):
     assert {tuple(r)[:4] for r in graph.depth1_edges(held, centres, cell_rows=cell).collect()} < got
 
 
+@pytest.mark.parametrize("asked,edges", [(-3, 2), (1, 2), (2, 3), (9, 3)])
+def test_graph_depth_is_kept_between_one_and_two(spark, asked, edges):
+    rows = [("1", "A"), ("2", "A"), ("2", "B"), ("3", "B"), ("1", "C"), ("4", "C")]
+    held = spark.createDataFrame(
+        [(r, n, "9") for r, n in rows], "cnpj_basico string, nome_socio string, doc string"
+    )
+    centres = spark.createDataFrame([("1",)], "cnpj_basico string")
+    assert graph.graph_edges(held, centres, asked).count() == edges
+
+
 def test_candidates(w, tmp_path):
     ranked = candidates.successor_candidates(
         w.risk, w.sanctions, w.contracts, w.offices, w.names, w.as_of
