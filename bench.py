@@ -16,7 +16,7 @@ import time
 from catalogue import landing
 from catalogue.queries import queries
 from contraluz.session import build_session
-from contraluz.standin import Standin
+from catalogue.standin import Standin
 
 HEADLINE = [
     "normalize_name",

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contraluz.standin import LENIENCY_HEADER, PURCHASE_HEADER, Standin
+from catalogue.standin import LENIENCY_HEADER, PURCHASE_HEADER, Standin
 
 CSV = {"sep": ";", "quote": '"', "escape": '"', "quoteAll": True, "encoding": "ISO-8859-1"}
 

@@ -25,7 +25,7 @@ from contraluz.plans import (
 from contraluz.schemas import REGISTER_ESTABLISHMENTS
 from contraluz.sources import archives, delimited, json_pages
 from contraluz.sources import landing as files
-from contraluz.standin import Standin
+from catalogue.standin import Standin
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}

@@ -13,7 +13,7 @@ import pytest
 
 from contraluz import schemas
 from contraluz.plans import batch
-from contraluz.standin import (
+from catalogue.standin import (
     CEIS_HEADER,
     CEPIM_HEADER,
     CNEP_HEADER,

@@ -32,6 +32,16 @@ def con():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Queries run as in production: with whole-stage code."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    yield
+    spark.conf.set(name, before)
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from contraluz.plans import contracts
 from contraluz.schemas import CONTRACTS
-from contraluz.standin import PURCHASE_HEADER
+from catalogue.standin import PURCHASE_HEADER
 from contraluz.streaming.refresh import refresh_on_landing
 
 
