@@ -64,6 +64,7 @@ LABELLED = [
     (70, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (35, 0.05, 70, 0.0, 28, 0.0, 0, 0, 0, 1),
     (28, 0.2, 35, 0.0, 3, 0.0, 0, 0, 0, 1), (14, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
     (7, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1),
+    (50, 0.0, 0, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1),
     (16, 0.0, 18, 0.0, 20, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 44, 0.0, 0, 0, 0, 1),
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (10, 0.9, 8, 0.8, 9, 1.0, 0, 0, 0, 0),
     (40, 0.8, 3, 1.0, 9, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
