@@ -1,4 +1,4 @@
-"""Five stages that turn raw documents into packed training sequences.
+"""Six stages that turn raw documents into packed training sequences.
 
 Each stage works on all its predecessor kept. Models are fitted on labelled rows of the whole documents
 table outside their held-out folds, never on what a stage hands on.
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contraluz.llm import decontaminate, packing, quality, simhash, toxicity
+from contraluz.llm import decontaminate, near_copies, packing, quality, simhash, toxicity
 from contraluz.llm.common import free_name, table
 from contraluz.llm.queries import tokenizer_path
 
@@ -41,6 +41,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     return simhash.one_of_each_group(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of a 5-word similarity of 0.8 or more the document with the smallest id."""
+    return near_copies.one_of_each_group(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without any benchmark passage (operator 7)."""
     name = free_name("hits", docs.columns)
@@ -57,6 +62,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality", keep_quality),
     ("simhash", drop_near_copies),
+    ("similarity", drop_similar),
     ("decontamination", drop_contaminated),
     ("packing", pack_sequences),
 ]
