@@ -30,6 +30,7 @@ WIDTH = 5
 # similarity of 4/5: in whole numbers, so that pairs at the limit are decided exactly
 PART, WHOLE = 4, 5
 _PAIRS_AT_ONCE = 1 << 18
+_BROADCAST = 1 << 20  # counted rows up to which ids are sent to the sets, not the sets shuffled
 _SHARED = pa.schema([("row", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 _SET = T.StructType().add("node", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -169,8 +170,17 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     )
 
 
+def _of_rows(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of the given distinct rows."""
+    small = rows.limit(_BROADCAST + 1).count() <= _BROADCAST
+    return sets.join(F.broadcast(rows) if small else rows, "row", "left_semi")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` of rows whose sets are similar enough."""
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = _of_rows(sets, touched)
+
     def side(name: str) -> DataFrame:
         return sets.select(F.col("row").alias(name), F.col("shingles").alias(f"s{name}"))
 
@@ -192,7 +202,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         .withColumn("row", F.monotonically_increasing_id())
     )
     nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row")))
-    sets = found.select("row", "shingles").join(nodes.select("row"), "row")
+    sets = _of_rows(found.select("row", "shingles"), nodes.select("row"))
     index = checkpointed(_prefixes(sets))
     first = checkpointed(_in_cells(index).mapInArrow(_leader_pairs, "a long, b long").distinct())
     links = checkpointed(_similar(first, sets))
