@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +35,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lowered and every other character as it is."""
+    by_letter = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(by_letter)
+
+
 def in_chunks(items: list, rows: int) -> Iterator[list]:
     """Slices of at most ``rows`` items, so that what is derived from them stays small."""
     for start in range(0, len(items), rows):

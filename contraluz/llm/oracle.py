@@ -156,10 +156,107 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LINES = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+  SELECT doc_id, lines[i] AS line, i,
+    {_LOWERED.format("trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+  FROM cut, unnest(range(1, len(lines) + 1)) AS r(i)
+),
+shared AS (
+  SELECT key, min(doc_id) AS first FROM line WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+),
+kept AS (
+  SELECT line.*, coalesce(first <> doc_id, false) AS gone FROM line LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
+
+
+# the bytes of the decimal id, one after the other, through the table of the reflected polynomial
+_CRC = """crc_step AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY k) AS step
+  FROM range(256) r(k)
+),
+crcs AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(cast(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), crc_step
+)"""
+
+
+def _manifest(doc_levels: int = 9, lang_levels: int = 5) -> str:
+    """Trees of up to 8^9 documents a language and 8^5 languages, one level of nodes after the other."""
+
+    def leaf(text: str) -> str:
+        fields = ["cast(doc_id AS VARCHAR)", "source", "lang", "cast(n_chars AS VARCHAR)", text]
+        return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"
+
+    def tree(name: str, levels: int) -> list[str]:
+        """From ``{name}_0(t, i, d, n)``: nodes with what stands before and after them in their run."""
+        out = []
+        for k in range(levels):
+            run = "PARTITION BY t, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(f"""{name}_s{k} AS (SELECT *, n > 1 AS up,
+  coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}_{k})""")
+            out.append(f"""{name}_{k + 1} AS (SELECT t, i // 8 AS i,
+  CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d,
+  cast(ceil(any_value(n) / 8.0) AS BIGINT) AS n FROM {name}_{k} GROUP BY t, i // 8)""")
+        return out
+
+    def climb(start: str, name: str, levels: int) -> list[str]:
+        """Follow every row of ``start`` (with t, p, siblings, fold) up to the root of its tree."""
+        out, last = [], start
+        for k in range(levels):
+            table = f"{start}_{k}"
+            out.append(f"""{table} AS (SELECT c.* REPLACE (
+    CASE WHEN up THEN siblings || before || after ELSE siblings END AS siblings,
+    CASE WHEN up THEN sha256(before || fold || after) ELSE fold END AS fold, p // 8 AS p)
+  FROM {last} c JOIN {name}_s{k} s ON s.t = c.t AND s.i = c.p)""")
+            last = table
+        return out
+
+    parts = [
+        f"""leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf("text")} AS d,
+  CASE WHEN crc % 3 = 0 THEN {leaf(_LOWERED.format("text"))} END AS changed FROM documents JOIN crcs USING (doc_id))""",
+        """a_rows AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, d) - 1 AS i,
+  count(*) OVER (PARTITION BY t) AS n FROM leaves)""",
+        "a_0 AS (SELECT t, i, d, n FROM a_rows)",
+        *tree("a", doc_levels),
+        f"""b_rows AS (SELECT t AS lang_tree, d AS subroot, row_number() OVER (ORDER BY encode(t)) - 1 AS i,
+  count(*) OVER () AS n FROM a_{doc_levels})""",
+        "b_0 AS (SELECT '' AS t, i, subroot AS d, n FROM b_rows)",
+        *tree("b", lang_levels),
+        """start_a AS (SELECT doc_id, d AS leaf, t, i AS p, '' AS siblings, coalesce(changed, d) AS fold FROM a_rows)""",
+        *climb("start_a", "a", doc_levels),
+        f"""start_b AS (SELECT doc_id, leaf, subroot, '' AS t, b.i AS p, siblings, fold
+  FROM start_a_{doc_levels - 1} a JOIN b_rows b ON b.lang_tree = a.t)""",
+        *climb("start_b", "b", lang_levels),
+    ]
+    return (
+        f"WITH {_CRC}, "
+        + ",\n".join(parts)
+        + f"""
+SELECT doc_id, leaf, subroot, top.d AS root, sha256(siblings) AS proof_sha256, fold AS folded_root,
+  fold = top.d AS verified
+FROM start_b_{lang_levels - 1}, b_{lang_levels} top"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_licence": _licence(),
         "op6_chat": _CHAT,
         "op7_decontamination": _LEAKS,
         "op9_topk": _TOP_K,
+        "op11_lines": _LINES,
+        "op12_manifest": _manifest(),
     }

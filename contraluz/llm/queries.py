@@ -8,27 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contraluz.llm import (
+    align,
     chat,
     decontaminate,
     hilbert,
     html_blocks,
     licence,
+    line_dedup,
+    merkle,
     packing,
     quality,
     simhash,
     topk,
     toxicity,
 )
-from contraluz.llm.common import table
+from contraluz.llm.common import ascii_lower, table
 from contraluz.llm.labelled import fold
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
@@ -161,6 +165,39 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op11_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_digest(*[F.col(f) for f in fields[:-1]], ascii_lower(F.col("text")))
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    carry = {"doc_id": F.col("doc_id"), "changed": F.when(tampered, changed)}
+    proofs = merkle.manifest(docs, fields, "lang", "doc_id", carry)
+    now = F.coalesce("changed", "leaf")
+    found = proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        merkle.folded(now, F.col("steps")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.aligned(
+        table(spark, folder, "documents"), tokenizer_path(), tokenizer_path(PIECES)
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -174,6 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert,
         op9_topk,
         op10_packing,
+        op11_lines,
+        op12_manifest,
+        op13_alignment,
     )
 }
 
