@@ -28,6 +28,16 @@ def customer_csv(v: Standin) -> str:
     return v.landed("customer_csv", write)
 
 
+def documents_csv(v: Standin) -> str:
+    """Ids and texts of the documents; a text is one quoted field with all its line breaks."""
+
+    def write(folder: str) -> None:
+        rows = v.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+        rows.write.csv(folder, header=True, **{**CSV, "encoding": "UTF-8"})
+
+    return v.landed("documentos_csv", write)
+
+
 def establishments_csv(v: Standin) -> str:
     """The establishment register without a header."""
     return v.landed("estabelecimentos_csv", lambda f: v.raw_establishments().write.csv(f, **CSV))
@@ -43,23 +53,42 @@ def leniency_csv(v: Standin) -> str:
     return v.landed("leniencia_csv", write)
 
 
-def purchases_csv(v: Standin) -> str:
-    """Purchase files in month folders named like the published files.
+def _publish(purchases: DataFrame, folder: str) -> None:
+    """Purchase files in month folders named like the published files; months that exist are replaced.
 
     Range partitioning keeps the number of files low and still splits a month that is very large.
     """
+    (
+        purchases.withColumn("arquivo", F.concat("competencia", F.lit("_Compras")))
+        .drop("competencia")
+        .repartitionByRange("arquivo", "Número do Contrato")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("arquivo")
+        .csv(folder, header=True, **CSV)
+    )
+
+
+def purchases_csv(v: Standin) -> str:
+    return v.landed("compras_csv", lambda folder: _publish(v.raw_purchases(), folder))
+
+
+def publish_early(v: Standin, folder: str) -> list[str]:
+    """All months, the newest two as they first come out: half the rows, other values."""
+    raw = v.raw_purchases()
+    months = raw.select("competencia").distinct().orderBy(F.desc("competencia")).limit(2)
+    newest = [row["competencia"] for row in months.collect()]
+    late = F.col("competencia").isin(newest)
+    early = raw.filter(~late | (F.crc32("Número do Contrato") % 2 == 0)).withColumn(
+        "Valor Final Compra", F.when(late, F.lit("1,00")).otherwise(F.col("Valor Final Compra"))
+    )
+    _publish(early, folder)
+    return newest
 
-    def write(folder: str) -> None:
-        (
-            v.raw_purchases()
-            .withColumn("arquivo", F.concat("competencia", F.lit("_Compras")))
-            .drop("competencia")
-            .repartitionByRange("arquivo", "Número do Contrato")
-            .write.partitionBy("arquivo")
-            .csv(folder, header=True, **CSV)
-        )
 
-    return v.landed("compras_csv", write)
+def publish_again(v: Standin, folder: str, months: list[str]) -> None:
+    """The given months as they are in the end."""
+    _publish(v.raw_purchases().filter(F.col("competencia").isin(months)), folder)
 
 
 def _quoted(name: str) -> Column:

@@ -18,13 +18,16 @@ from contraluz.plans import (
     graph,
     links,
     register,
+    reload,
     reports,
     risk,
     sanctions,
 )
 from contraluz.schemas import REGISTER_ESTABLISHMENTS
-from contraluz.sources import archives, delimited, json_pages
+from contraluz.session import scratch_dir
+from contraluz.sources import archives, delimited, json_pages, manifest
 from contraluz.sources import landing as files
+from contraluz.tables import TableStore
 from catalogue.standin import Standin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +190,19 @@ def zip_csv_scan(v: Standin) -> DataFrame:
     return contracts.contracts_table(["F"], purchases=delimited.with_period(raw))
 
 
+@query
+def zip_block_scan(v: Standin) -> DataFrame:
+    raw = archives.zip_block_with_header(v.spark, landing.purchases_zip(v), "_compras.csv")
+    return contracts.contracts_table(["F"], purchases=delimited.with_period(raw))
+
+
+@query
+def scan_csv_split(v: Standin) -> DataFrame:
+    """Documents with their line breaks as quoted fields of a few files."""
+    raw = delimited.read_split(v.spark, landing.documents_csv(v))
+    return raw.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 @query
 def latest_snapshot(v: Standin) -> DataFrame:
     return files.latest_snapshots(landing.snapshot_files(v))
@@ -278,6 +294,30 @@ def contracts_latest(v: Standin) -> DataFrame:
     return v.build_contracts()
 
 
+@query
+def contracts_reloaded(v: Standin) -> DataFrame:
+    """The contracts table after its newest months came out again and only these were read."""
+    store = TableStore(v.spark, scratch_dir(v.spark, "recarga"))
+    folder = scratch_dir(v.spark, "recarga_csv")
+
+    def read(paths: list[str]) -> DataFrame:
+        raw = delimited.with_period(delimited.read_with_header(v.spark, paths))
+        month = manifest.month_of_purchase(F.col("_arquivo")).alias("mes_arquivo")
+        return contracts.from_purchases(raw, keep=[month])
+
+    def refresh() -> None:
+        landed = files.list_files(v.spark, folder, "*.csv")
+        month = manifest.month_of_purchase(F.col("path"))
+        source = reload.Source(manifest.entries(landed, reload.PURCHASES, month), read)
+        reload.reload_contracts(store, source, None)
+
+    newest = landing.publish_early(v, folder)
+    refresh()
+    landing.publish_again(v, folder, newest)
+    refresh()
+    return store.read(reload.CONTRACTS)
+
+
 @query
 def contracts_counts(v: Standin) -> DataFrame:
     return contracts.count_by_origin(v.contracts())
@@ -367,6 +407,11 @@ def links_counts(v: Standin) -> DataFrame:
     return links.count_links(_all_links(v))
 
 
+@query
+def links_counts_grouped(v: Standin) -> DataFrame:
+    return links.count_links_grouped(v.held(), v.limit)
+
+
 @query
 def risk_degree0(v: Standin) -> DataFrame:
     return risk.degree0(v.sanctions())
@@ -392,6 +437,11 @@ def company_risk(v: Standin) -> DataFrame:
     return v.build_company_risk()
 
 
+@query
+def risk_degree2(v: Standin) -> DataFrame:
+    return risk.degree2(v.held(), v.sanctions(), v.sanctioned(), v.as_of, years=2, limit=v.limit)
+
+
 @query
 def risk_counts(v: Standin) -> DataFrame:
     return risk.count_company_risk(v.company_risk())
@@ -463,6 +513,25 @@ def company_search_root(v: Standin) -> DataFrame:
     return _search(v, "00.000.011/0001-00")
 
 
+# wildcards, accents, parts shorter than a gram, a root, everything, nothing
+SEARCHES = ["tômer#%9_", "customer#000000012", "11", "c cust%1_", "r#0%0", "não há", "00.000.011/0001-00", "%"]
+
+
+@query
+def company_search_indexed(v: Standin) -> DataFrame:
+    index, found = v.name_index(), None
+    for typed in SEARCHES:
+        rows = index.search(typed, v.establishments(), v.company_risk())
+        rows = rows.select(F.lit(typed).alias("consulta"), "*")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query
+def company_sheet_pruned(v: Standin) -> DataFrame:
+    return v.clustered().sheet(v.as_of)
+
+
 def _known(v: Standin) -> DataFrame:
     return companies.known_roots(v.names(), v.partners(), v.company_risk())
 
@@ -522,10 +591,18 @@ def graph_depth2_edges(v: Standin) -> DataFrame:
     return graph.depth2_edges(v.held(), v.centres(), v.limit)
 
 
+def _neighbourhood(v: Standin) -> graph.Neighbourhood:
+    return graph.neighbourhood(v.held(), v.centres(), v.limit)
+
+
+@query
+def graph_depth2_shared(v: Standin) -> DataFrame:
+    return _neighbourhood(v).joined()
+
+
 @query
 def graph_nodes(v: Standin) -> DataFrame:
-    edges = v.stored("grafo2", lambda: graph_depth2_edges(v))
-    return graph.nodes(edges, v.centres(), v.names(), v.company_risk())
+    return _neighbourhood(v).nodes(v.names(), v.company_risk())
 
 
 @query

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contraluz.plans import contracts, links, register, risk, sanctions
+from contraluz.plans.clustered import Clustered
 from contraluz.plans.companies import names
+from contraluz.plans.name_index import COUNTS, NameIndex
 from contraluz.schemas import (
     REGISTER_COMPANIES,
     REGISTER_ESTABLISHMENTS,
@@ -393,13 +395,18 @@ class Standin:
 
     # tables built by the jobs: each stage reads the written tables of the stages before it
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table as written in this session's scratch folder; built on first use."""
+    def store(self) -> TableStore:
+        """This session's scratch tables."""
         app = self.spark.sparkContext.applicationId
         store = _STORES.get((app, self))
         if store is None:
             store = TableStore(self.spark, scratch_dir(self.spark, "tables"))
             _STORES[(app, self)] = store
+        return store
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table as written in this session's scratch folder; built on first use."""
+        store = self.store()
         if name not in store.schemas:
             return store.write(name, build())
         return store.read(name)
@@ -488,6 +495,18 @@ class Standin:
     def names(self) -> DataFrame:
         return names(self.companies(), self.sanctions(), self.contracts())
 
+    def name_index(self) -> NameIndex:
+        """The search index of all names, built on first use."""
+        store = self.store()
+        return NameIndex(store) if store.exists(COUNTS) else NameIndex.build(store, self.names())
+
+    def clustered(self) -> Clustered:
+        """The tables of the company sheet by root, built on first use."""
+        tables = Clustered(self.store(), buckets=self.spark.sparkContext.defaultParallelism)
+        if not self.store().exists("raizes_por_raiz"):
+            tables.build(self.sanctions(), self.contracts(), self.partners(), self.company_risk())
+        return tables
+
     def centres(self) -> DataFrame:
         """Graph centres: companies with a leniency agreement in force."""
         agreements = self.sanctions().filter((F.col("fonte") == "LENIENCIA") & F.col("vigente"))

@@ -13,10 +13,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contraluz.plans import contracts, links, register, reports, risk, sanctions
+from contraluz.plans import contracts, links, register, reload, reports, risk, sanctions
 from contraluz.schemas import REGISTER_COMPANIES, REGISTER_ESTABLISHMENTS, REGISTER_PARTNERS
-from contraluz.sources import landing
-from contraluz.sources.archives import zip_headerless, zip_with_header
+from contraluz.sources import landing, manifest
+from contraluz.sources.archives import zip_block_headerless, zip_block_with_header
 from contraluz.sources.delimited import with_period
 from contraluz.sources.json_pages import read_contract_pages
 from contraluz.tables import TableStore
@@ -60,7 +60,7 @@ def load_sanctions(store: TableStore, folder: str, as_of: date) -> DataFrame:
         landing.list_files(spark, folder, "*.zip"), list(SANCTION_MEMBERS)
     )
     raw = {
-        base: zip_with_header(spark, [paths[base]], member)
+        base: zip_block_with_header(spark, [paths[base]], member)
         for base, member in SANCTION_MEMBERS.items()
     }
     table = sanctions.unify_sanctions(
@@ -69,30 +69,52 @@ def load_sanctions(store: TableStore, folder: str, as_of: date) -> DataFrame:
     return sanctions.count_by_source(store.write("sancoes", table))
 
 
+def purchase_source(store: TableStore, files: DataFrame) -> reload.Source:
+    """Monthly purchase archives as a source of published contract rows."""
+
+    def read(paths: list[str]) -> DataFrame:
+        raw = with_period(zip_block_with_header(store.spark, paths, "_compras.csv"))
+        raw = raw.withColumn("mes_arquivo", manifest.month_of_purchase(F.col("_arquivo")))
+        return contracts.from_purchases(raw, keep=["mes_arquivo"])
+
+    month = manifest.month_of_purchase(F.col("arquivo"))
+    return reload.Source(manifest.entries(files, reload.PURCHASES, month), read)
+
+
+def page_source(store: TableStore, folder: str, scope: Scope, as_of: date | None) -> reload.Source:
+    """Landed contract pages of the scope's spheres, state and city as a source of contract rows."""
+    spheres = [s for s in scope.spheres if s != "F"]
+
+    def read(paths: list[str]) -> DataFrame:
+        records = read_contract_pages(store.spark, paths, multiline=True, base=folder)
+        kept = contracts.in_scope(records, spheres, scope.state, scope.city_code)
+        return contracts.from_json_records(kept)
+
+    month = manifest.month_of_page(F.col("path"))
+    files = landing.list_files(store.spark, folder).filter(month >= scope.since.replace("-", ""))
+    if as_of is not None:
+        files = files.filter(month <= f"{as_of:%Y%m}")
+    kept = f"{sorted(spheres)} {scope.state} {scope.city_code}"
+    return reload.Source(manifest.entries(files, reload.PAGES, month, kept), read)
+
+
 def load_contracts(
     store: TableStore, landed: Landed, scope: Scope, as_of: date | None = None
 ) -> DataFrame:
-    """Contracts of the months from ``scope.since`` to that of ``as_of``, if given."""
-    spark = store.spark
-    purchases = records = None
+    """Contracts of the months from ``scope.since`` to that of ``as_of``, if given.
+
+    Months whose files are as in the last run are not read again (``plans.reload``).
+    """
+    purchases = pages = None
     if "F" in scope.spheres:
-        files = landing.list_files(spark, landed.purchases, "*_compras.zip")
-        paths = landing.purchase_paths(files, scope.since, as_of)
-        purchases = with_period(zip_with_header(spark, paths, "_compras.csv"))
+        files = landing.list_files(store.spark, landed.purchases, "*_compras.zip")
+        purchases = purchase_source(store, landing.purchases_in_range(files, scope.since, as_of))
     if set(scope.spheres) - {"F"}:
         if landed.contract_pages is None:
             raise FileNotFoundError("spheres E and M need contract pages")
-        first = scope.since.replace("-", "")
-        records = read_contract_pages(spark, landed.contract_pages, multiline=True).filter(
-            F.col("competencia") >= first
-        )
-        if as_of is not None:
-            records = records.filter(F.col("competencia") <= f"{as_of:%Y%m}")
-    table = contracts.contracts_table(
-        scope.spheres, purchases, records, scope.state, scope.city_code
-    )
-    written = store.write("contratos", table, partition_by=["competencia"])
-    return contracts.count_by_origin(written)
+        pages = page_source(store, landed.contract_pages, scope, as_of)
+    reload.reload_contracts(store, purchases, pages)
+    return contracts.count_by_origin(store.read(reload.CONTRACTS))
 
 
 def load_register(store: TableStore, folder: str, scope: Scope) -> DataFrame:
@@ -105,7 +127,7 @@ def load_register(store: TableStore, folder: str, scope: Scope) -> DataFrame:
         paths = [row["path"] for row in files.select("path").orderBy("path").collect()]
         if not paths:
             raise FileNotFoundError(f"no {prefix} archive in {newest}")
-        return zip_headerless(spark, paths, names)
+        return zip_block_headerless(spark, paths, names)
 
     sanctioned, contracted = store.read("sancoes"), store.read("contratos")
     # written once because the universe and the final table both read it
@@ -145,16 +167,23 @@ def load_register(store: TableStore, folder: str, scope: Scope) -> DataFrame:
     return stacked
 
 
-def load_links(store: TableStore, limit: int = links.HYPERCONNECTOR_LIMIT) -> DataFrame:
+def load_links(
+    store: TableStore, limit: int = links.HYPERCONNECTOR_LIMIT, pairs: bool = False
+) -> DataFrame:
+    """Holdings, degrees and risk; links stay factorised as holdings, from which they are counted.
+
+    ``links.links(store.read("participacoes"))`` is the table of all pairs; ``pairs`` writes it.
+    """
     held = store.write("participacoes", links.holdings(store.read("socios")))
+    if pairs:
+        store.write("vinculos", links.links(held, limit))
     sanctioned = store.write("grau0", risk.degree0(store.read("sancoes")))
     offices = store.read("estabelecimentos")
-    pairs = store.write("vinculos", links.links(held, limit))
     store.write("empresas_risco", risk.risk_degrees(held, sanctioned, offices, limit))
     per_company = store.write(
         "risco_por_empresa", risk.company_risk(held, sanctioned, offices, limit)
     )
-    both = links.count_links(pairs).unionByName(
+    both = links.count_links_grouped(held, limit).unionByName(
         risk.count_company_risk(per_company), allowMissingColumns=True
     )
     return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -68,17 +68,31 @@ def search(
     Accents and case do not matter; ``%`` and ``_`` work as wildcards. The name filter is one scan;
     only the matching companies are grouped and joined.
     """
-    digits = re.sub(r"\D", "", query, flags=re.ASCII)
-    if len(digits) >= 8:
-        wanted = F.col("cnpj_basico") == digits[:8]
+    root = typed_root(query)
+    if root is not None:
+        wanted = F.col("cnpj_basico") == root
     else:
         pattern = F.concat(F.lit("%"), text.normalize_name(F.lit(query)), F.lit("%"))
-        wanted = _like(text.normalize_name(F.col("nome")), pattern)
-    found = best_name(all_names.filter(wanted)).select(
-        "cnpj_basico", F.col("nome").alias("razao_social")
-    )
+        wanted = like(text.normalize_name(F.col("nome")), pattern)
+    return listed(all_names.filter(wanted), establishments, risk_per_company, limit)
+
+
+def typed_root(query: str) -> str | None:
+    """The company root that is typed, if there are 8 or more digits."""
+    digits = re.sub(r"\D", "", query, flags=re.ASCII)
+    return digits[:8] if len(digits) >= 8 else None
+
+
+def listed(
+    matching_names: DataFrame,
+    establishments: DataFrame,
+    risk_per_company: DataFrame,
+    limit: int | None = None,
+) -> DataFrame:
+    """One row for each company of the matching names, under the best of these, alerts first."""
+    found = best_name(matching_names).select("cnpj_basico", F.col("nome").alias("razao_social"))
     offices = head_offices(establishments).select("cnpj_basico", "uf", "situacao_cadastral")
-    listed = (
+    rows = (
         found.join(offices, "cnpj_basico", "left")
         .distinct()
         .join(risk_per_company, "cnpj_basico", "left")
@@ -92,10 +106,10 @@ def search(
         )
         .orderBy(F.asc_nulls_last("grau"), "razao_social", "cnpj_basico")
     )
-    return listed if limit is None else listed.limit(limit)
+    return rows if limit is None else rows.limit(limit)
 
 
-def _like(value, pattern):
+def like(value, pattern):
     # no escape character: a backslash typed by the user is just a backslash
     return F.like(value, pattern, F.lit("\u0001"))
 

@@ -3,7 +3,8 @@
 High confidence: same name and same document. Medium: same name, document missing on at least one
 side, and the name is not a hyperconnector (found in more than ``limit`` companies).
 
-The pair table can be far bigger than the partner table, so only :func:`links` builds all of it.
+The pair table can be far bigger than the partner table, so only :func:`links` builds all of it, on
+demand: what is stored are the groups (``holdings``), and :func:`count_links_grouped` counts from them.
 Everything that asks about some companies uses :func:`links_from`, which expands their groups
 only, and the per-company risk needs no pairs at all (``plans.risk.company_risk``).
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from contraluz.functions import text
 from contraluz.operators.hot_groups import CELL_ROWS, grid_join, pairs_within
+from contraluz.tables import staged
 
 HYPERCONNECTOR_LIMIT = 20
 
@@ -227,6 +229,97 @@ def links_seen(
     return high.unionByName(medium_links_seen(held, origins, limit, cell_rows))
 
 
+def _document_sets(held: DataFrame) -> DataFrame:
+    """One row per (name, company): its usable documents, and whether it has the name undocumented."""
+    usable = (F.col("doc") != "") & (F.col("doc") != "000000")
+    return held.groupBy("nome_socio", "cnpj_basico").agg(
+        F.sort_array(F.collect_set(F.when(usable, F.col("doc")))).alias("docs"),
+        F.bool_or(F.col("doc") == "").alias("sem_doc"),
+    )
+
+
+def _whole_pairs(n: Column) -> Column:
+    return F.shiftright(n * (n - 1), 1)
+
+
+def _shared_twice(members: DataFrame) -> DataFrame:
+    """``(nome_socio, todas, livres)``: how often pairs are counted too often, document by document.
+
+    Only companies with several documents of one name can meet in more than one. Those with the same
+    documents are one class with a size, so what is joined is classes.
+    """
+    several = members.filter(F.size("docs") > 1)
+    classes = staged(
+        several.groupBy("nome_socio", "docs", "sem_doc")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("classe", F.monotonically_increasing_id()),
+        "classes",
+    )
+    excess = (F.size("docs") - 1) * _whole_pairs(F.col("n"))
+    inside = classes.select(
+        "nome_socio", excess.alias("todas"), F.when(F.col("sem_doc"), 0).otherwise(excess).alias("livres")
+    )
+    places = staged(classes.select("nome_socio", F.explode("docs").alias("doc"), "classe"), "lugares")
+    met = pairs_within(places, ["nome_socio", "doc"], "classe").groupBy("a", "b").agg(
+        (F.count(F.lit(1)) - 1).alias("k")
+    )
+    sides = [
+        classes.select(F.col("classe").alias(c), F.col("n").alias(f"n{c}"), F.col("sem_doc").alias(f"s{c}"))
+        for c in ("a", "b")
+    ]
+    across = F.col("k") * F.col("na") * F.col("nb")
+    between = (
+        met.filter("k > 0")
+        .join(sides[0], "a")
+        .join(sides[1], "b")
+        .join(classes.select(F.col("classe").alias("a"), "nome_socio"), "a")
+        .select(
+            "nome_socio",
+            across.alias("todas"),
+            F.when(F.col("sa") | F.col("sb"), 0).otherwise(across).alias("livres"),
+        )
+    )
+    return (
+        inside.unionByName(between)
+        .groupBy("nome_socio")
+        .agg(F.sum("todas").alias("todas"), F.sum("livres").alias("livres"))
+    )
+
+
+def count_links_grouped(held: DataFrame, limit: int | None = HYPERCONNECTOR_LIMIT) -> DataFrame:
+    """What :func:`count_links` says of :func:`links`, from group sizes: no pair is made.
+
+    Of a name, n companies are n(n-1)/2 pairs. High links are counted document by document; pairs that
+    share k documents were counted k - 1 times too often, which is taken off class by class. Medium
+    links are the pairs with an undocumented side. Where both kinds count, high links are those among
+    the companies that have the name documented only, as all others are medium links already.
+    """
+    members = staged(_document_sets(held), "documentos")
+    sizes = members.groupBy("nome_socio").agg(
+        F.count(F.lit(1)).alias("empresas"), F.count_if("sem_doc").alias("nuas")
+    )
+    by_doc = (
+        members.select("nome_socio", F.explode("docs").alias("doc"), "sem_doc")
+        .groupBy("nome_socio", "doc")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("sem_doc")).alias("m"))
+        .groupBy("nome_socio")
+        .agg(
+            F.sum(_whole_pairs(F.col("n"))).alias("pares"),
+            F.sum(_whole_pairs(F.col("m"))).alias("pares_livres"),
+        )
+    )
+    rows = sizes.join(by_doc, "nome_socio", "left").join(_shared_twice(members), "nome_socio", "left")
+    none = F.lit(0).cast("long")
+    high = F.coalesce("pares", none) - F.coalesce("todas", none)
+    free = F.coalesce("pares_livres", none) - F.coalesce("livres", none)
+    medium = _whole_pairs(F.col("empresas")) - _whole_pairs(F.col("empresas") - F.col("nuas"))
+    hyper = F.lit(False) if limit is None else F.col("empresas") > limit
+    return rows.agg(
+        F.coalesce(F.sum(F.when(hyper, high).otherwise(free + medium)), none).alias("vinculos"),
+        F.coalesce(F.sum(high), none).alias("vinculos_alta"),
+    )
+
+
 def count_links(all_links: DataFrame) -> DataFrame:
     """Load metrics: links, and those of high confidence."""
     return all_links.agg(

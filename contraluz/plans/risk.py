@@ -1,7 +1,12 @@
-"""Risk degrees. 0: sanction in force. 1: shares a partner with a degree 0 and is not one itself."""
+"""Risk degrees. 0: sanction in force. 1: shares a partner with a degree 0 and is not one itself.
+
+2, on request: shares a partner with a degree 1, or had a sanction that expired lately.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,7 @@ from contraluz.plans.links import (
     medium_links_seen,
 )
 from contraluz.plans.register import head_offices
+from contraluz.tables import staged
 
 
 def degree0(sanctions: DataFrame) -> DataFrame:
@@ -179,6 +185,77 @@ def company_risk(
     )
 
 
+def linked_companies(
+    held: DataFrame, frontier: DataFrame, limit: int | None = HYPERCONNECTOR_LIMIT
+) -> DataFrame:
+    """Companies linked to one of ``frontier(cnpj_basico)``, and some of it itself; distinct.
+
+    High-confidence groups are reduced to "has a company of the frontier", so no pair is made there.
+    """
+    names = ["nome_socio", "doc"]
+    docs = documented(held)
+    touched = docs.join(frontier, "cnpj_basico", "left_semi").select(*names).distinct()
+    high = docs.join(touched, names, "left_semi").select("cnpj_basico")
+    medium = medium_links_seen(held, frontier.select("cnpj_basico"), limit)
+    return high.union(medium.select("outra")).distinct()
+
+
+def risk_by_hops(
+    held: DataFrame,
+    sanctioned: DataFrame,
+    hops: int = 2,
+    limit: int | None = HYPERCONNECTOR_LIMIT,
+) -> DataFrame:
+    """``(cnpj_basico, grau)``: how many links a company is away from a sanctioned one, at most ``hops``.
+
+    Each round expands the companies that the last one reached first; they are written, and only
+    those not reached before go on.
+    """
+    reached = frontier = staged(sanctioned.select("cnpj_basico", F.lit(0).alias("grau")), "grau0")
+    for degree in range(1, hops + 1):
+        near = linked_companies(held, frontier.select("cnpj_basico"), limit)
+        fresh = near.join(reached, "cnpj_basico", "left_anti")
+        frontier = staged(fresh.select("cnpj_basico", F.lit(degree).alias("grau")), f"grau{degree}")
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def recently_expired(sanctions: DataFrame, as_of: date, years: int) -> DataFrame:
+    """Companies with a sanction that ended less than ``years`` years before ``as_of``, and its last day."""
+    since = F.add_months(F.lit(as_of), -12 * years)
+    return (
+        sanctions.filter(~F.col("vigente") & (F.col("data_fim") > since))
+        .select(text.company_root(F.col("cnpj_cpf")).alias("cnpj_basico"), "data_fim")
+        .filter("cnpj_basico is not null")
+        .groupBy("cnpj_basico")
+        .agg(F.max("data_fim").alias("fim_da_sancao"))
+    )
+
+
+def degree2(
+    held: DataFrame,
+    sanctions: DataFrame,
+    sanctioned: DataFrame,
+    as_of: date,
+    years: int,
+    limit: int | None = HYPERCONNECTOR_LIMIT,
+) -> DataFrame:
+    """Companies of degree 2: a partner in common with a degree 1, or a sanction that expired lately.
+
+    None of them is of degree 0 or 1. ``socio_de_grau1`` and ``fim_da_sancao`` say why.
+    """
+    levels = risk_by_hops(held, sanctioned, 2, limit)
+    closer = levels.filter("grau < 2")
+    linked = levels.filter("grau = 2").select("cnpj_basico", F.lit(True).alias("socio_de_grau1"))
+    late = recently_expired(sanctions, as_of, years).join(closer, "cnpj_basico", "left_anti")
+    return linked.join(late, "cnpj_basico", "full").select(
+        "cnpj_basico",
+        F.lit(2).alias("grau"),
+        F.coalesce("socio_de_grau1", F.lit(False)).alias("socio_de_grau1"),
+        "fim_da_sancao",
+    )
+
+
 def count_company_risk(risk_per_company: DataFrame) -> DataFrame:
     """Load metrics: companies at degree 0, at degree 1, with a successor signal."""
     return risk_per_company.agg(

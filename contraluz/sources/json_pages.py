@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +12,29 @@ from contraluz.schemas import CONTRACT_RECORD, MODALITIES, PROCUREMENT_RECORD, p
 
 
 def read_pages(
-    spark: SparkSession, path: str, record: StructType, multiline: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    record: StructType,
+    multiline: bool = False,
+    base: str | None = None,
 ) -> DataFrame:
     """Records of all pages below ``competencia=YYYYMM`` folders, with that month as a column.
 
     One page per line, or with ``multiline`` one page per file. A page holds at most 500 records.
-    An empty body gives no rows.
+    An empty body gives no rows. Paths of single files need their common folder as ``base``.
     """
     schema = page_of(record).add(StructField("competencia", StringType()))
-    pages = spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
+    reader = spark.read.schema(schema).option("multiLine", str(multiline).lower())
+    if base is not None:
+        reader = reader.option("basePath", base)
+    pages = reader.json(path if isinstance(path, str) else list(path))
     return pages.select(F.explode("data").alias("r"), "competencia").select("r.*", "competencia")
 
 
-def read_contract_pages(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    return read_pages(spark, path, CONTRACT_RECORD, multiline)
+def read_contract_pages(
+    spark: SparkSession, path: str | Sequence[str], multiline: bool = False, base: str | None = None
+) -> DataFrame:
+    return read_pages(spark, path, CONTRACT_RECORD, multiline, base)
 
 
 def modality_lookup(spark: SparkSession) -> DataFrame:

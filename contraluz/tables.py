@@ -6,6 +6,7 @@ recomputation of everything before it, and later plans start from a scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +17,9 @@ from contraluz.session import scratch_dir
 
 
 # months as folder names, which a read without a schema would take for numbers
-PERIODS = ("competencia",)
+PERIODS = ("competencia", "mes_arquivo")
+# Spark's folder name for a null or empty partition value
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -52,6 +55,46 @@ class TableStore:
         self.schemas[name] = nullable(df.schema)
         return self.read(name)
 
+    def _hadoop(self, path: str):
+        """The file system of a path, as the session knows it, and the path."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def exists(self, name: str) -> bool:
+        """Whether the table was written completely, in this session or another.
+
+        A write of the whole table leaves a mark; one that replaces storage partitions only these.
+        """
+        system, path = self._hadoop(self.path(name))
+        if not system.exists(path):
+            return False
+        names = (found.getPath().getName() for found in system.listStatus(path))
+        return any(found == "_SUCCESS" or "=" in found for found in names)
+
+    def replace_partitions(self, name: str, df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+        """Replace the storage partitions that ``df`` has rows of; all others stay.
+
+        ``df`` must not read the table itself: hand in a written result.
+        """
+        (
+            grouped_for(df, partition_by)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_by)
+            .parquet(self.path(name))
+        )
+        self.schemas.setdefault(name, nullable(df.schema))
+        return self.read(name)
+
+    def drop_partitions(self, name: str, column: str, values: Sequence[str]) -> None:
+        """Remove storage partitions (months as text; an empty value is the null partition)."""
+        for value in values:
+            if not re.fullmatch(r"\w*", value):
+                raise ValueError(f"not a plain partition value: {value!r}")
+            folder = f"{column}={value or NO_VALUE}"
+            system, path = self._hadoop(f"{self.path(name)}/{folder}")
+            system.delete(path, True)
+
     def read(self, name: str) -> DataFrame:
         """The table, also one that an earlier session wrote; partition columns are text."""
         schema = self.schemas.get(name)
