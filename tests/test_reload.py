@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogue.standin import PURCHASE_HEADER
-from contraluz.plans import contracts, reload
+from contraluz.plans import contracts, monthly, reload, reports
 from contraluz.sources import delimited, landing, manifest
 from contraluz.tables import TableStore
 
@@ -29,6 +29,7 @@ class Months:
                 out.writerow({
                     "Número do Contrato": number, "Código UG": "7", "Código Contratado": supplier,
                     "Nome Contratado": "Padaria Céu", "Valor Final Compra": value,
+                    "Código Órgão": number[-1], "Nome Órgão": f"O {number}", "Data Fim Vigência": "01/02/2026",
                 })
 
     def read(self, paths):
@@ -52,7 +53,7 @@ def _rows(df):
     return sorted((r["competencia"], r["numero_contrato"], r["cnpj_contratado"], r["valor_final"]) for r in df.collect())
 
 
-def test_reload_reads_changed_months_only(spark, tmp_path):
+def test_reload_reads_changed_months_only(spark, tmp_path, as_of):
     one, two = "11222333000144", "55666777000188"
     months, store = Months(spark, tmp_path / "landed"), TableStore(spark, str(tmp_path / "tables"))
     months.put("202401", [("K0", one, "1,00"), ("K1", one, "2,00"), ("K9", two, "9,00")])
@@ -61,8 +62,12 @@ def test_reload_reads_changed_months_only(spark, tmp_path):
 
     def run():
         months.paths = []
-        changed = reload.reload_contracts(store, months.source(), None)["PORTAL"]
-        assert _rows(TableStore(spark, store.folder).read("contratos")) == months.full()
+        changed = reload.reload_contracts(store, months.source(), None, lambda m: monthly.refresh(store, m))["PORTAL"]
+        table = TableStore(spark, store.folder).read("contratos")
+        assert _rows(table) == months.full()
+        alert = spark.createDataFrame([(one[:8],)], "cnpj_basico string")
+        assert monthly.agencies_ranking(store, alert).collect() == reports.agencies_ranking(table, alert).collect()
+        assert monthly.radar_summary(store, alert, as_of).collect() == reports.radar_summary(table, alert, as_of).collect()
         assert {p.split("/")[-2][:6] for p in months.paths} <= set(changed)
         return changed
 
@@ -94,7 +99,16 @@ def test_a_run_that_died_is_run_again(spark, tmp_path):
     with pytest.raises(RuntimeError):
         reload.reload_contracts(store, months.source(), None)
     months.fails = False
-    assert reload.reload_contracts(store, months.source(), None)["PORTAL"] == ["202402"]
+    seen = []
+
+    def dies(replaced):
+        seen.append(replaced)
+        raise RuntimeError("died late")
+
+    with pytest.raises(RuntimeError):  # after the contracts are replaced: both months changed
+        reload.reload_contracts(store, months.source(), None, dies)
+    assert reload.reload_contracts(store, months.source(), None, seen.append)["PORTAL"] == ["202402"]
+    assert seen == [["202401", "202402"]] * 2
     assert _rows(store.read("contratos")) == months.full()
     assert store.read("contratos_pendentes").count() == 0
 
