@@ -151,3 +151,49 @@ def test_top_k_of_few_rows(spark):
     assert topk.top_k(make([(50, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
     two = topk.top_k(make([(50, [1.0]), (51, [-1.0])]), F.col("vec_id") % 50 == 0).collect()
     assert [tuple(r) for r in two] == [(50, 1, 51, -65536)]
+
+
+def naive_top_k(rows, k=5):
+    """(query, rank, candidate, exact score) of every query row; rows are distinct (id, vector)."""
+    whole = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
+    out = []
+    for q, v in whole:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in whole if c != q)
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [topk.BLOCK, 3])
+def test_top_k_of_ids_with_several_vectors(spark, block):
+    rng = np.random.default_rng(8)
+    rows = [(50, [float(n), 8.0, 1.0]) for n in range(10)] + [(100, [3.0, 0.5, -2.0]), (51, [2.0, 1.0, 0.0])]
+    rows += [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(1, 7)]
+    rows += [(52, [float(n), 9.0, 9.0]) for n in range(12)]  # a candidate with many vectors
+    rows += [(53, [9.0, 8.0, 1.0]), (150, [4.0, 8.0, 1.0])]  # equal to vectors of the first id
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, block=block).collect()
+    assert sorted(map(tuple, got)) == naive_top_k(rows)
+    alone = spark.createDataFrame(rows[:10], "vec_id long, embedding array<double>")
+    assert topk.top_k(alone, F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("largest", [3e5, 1e9, 1e15])
+def test_top_k_of_large_components(spark, largest):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.round(rng.uniform(-largest, largest, 5), 2)]) for i in range(60)]
+    rows += [(i + 100, [x + 1 / 256 for x in v]) for i, v in rows[:40]]  # scores that doubles confuse
+    rows += [(300 + i, [1.0, 2.0, 3.0, 4.0, 0.25 * i]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+    bound = (1 << 63) - 1
+    want = [(q, n, c, max(-bound - 1, min(bound, s))) for q, n, c, s in naive_top_k(rows)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert largest < 1e9 or any(s == bound for *_, s in want)
+
+
+def test_top_k_of_the_largest_floats(spark):
+    rows = [(50, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 2.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 2] and got[0]["score"] == (1 << 63) - 1
