@@ -12,11 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contraluz.llm.common import checkpointed, free_name, text_or_empty
+from contraluz.llm.common import checkpointed, free_name, shuffle_partitions, text_or_empty
 from contraluz.llm.ranking import global_rank
 
 SHARDS = 40
@@ -56,29 +56,49 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    """An order-preserving number: the value itself, or the first seven bytes of a string."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)
-        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _string_bounds(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Up to ``2 ** bits - 1`` values that cut the rows into equal parts, whole strings in byte order.
+
+    Distinct values are counted, sorted by ranges and numbered by running totals: within a partition,
+    then by one total for each partition.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(shuffle_partitions(spark), "value")
+    placed = checkpointed(ranged.withColumn("part", F.spark_partition_id()))
+    totals = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    total, starts, before = sum(totals.values()), [], 0
+    for part in sorted(totals):
+        starts.append((part, before))
+        before += totals[part]
+    if not total:
+        return []
+    running = Window.partitionBy("part").orderBy("value")
+    upto = F.sum("n").over(running) + F.col("start")
+    cut = [F.floor(x * (1 << bits) / F.lit(total)) for x in (F.col("upto") - F.col("n"), F.col("upto"))]
+    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))  # one row a partition
+    bounds = placed.join(offsets, "part").withColumn("upto", upto).where((cut[0] < cut[1]) & (F.col("upto") < total))
+    return sorted((r["value"] for r in bounds.select("value").collect()), key=lambda v: v.encode())
 
 
 def quantised(df: DataFrame, dims: Sequence[str], bits: int) -> DataFrame:
     """``df`` with an array column ``_cells``: per dimension how many quantile bounds a value exceeds.
 
-    The bounds are approximate quantiles over all rows, ``2 ** bits - 1`` of them a dimension. Null
-    is in cell 0. Whatever the bounds, any cells give a valid order.
+    The bounds are quantiles over all rows, ``2 ** bits - 1`` of them a dimension at most; those of
+    numbers are approximate. Null is in cell 0. Whatever the bounds, any cells give a valid order.
     """
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    bounds = df.agg(
-        *[F.percentile_approx(_numeric(df, d), shares, 1000).alias(f"q{i}") for i, d in enumerate(dims)]
-    ).first()
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in texts]
+    steps = {d: _string_bounds(df, d, bits) for d in texts}
+    if numbers:
+        row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 1000).alias(d) for d in numbers]).first()
+        steps |= {d: sorted(set(row[d] or [])) for d in numbers}
     cells = []
-    for i, d in enumerate(dims):
-        steps = sorted(set(bounds[f"q{i}"] or []))
-        value = F.coalesce(_numeric(df, d), F.lit(float("-inf")))
-        cells.append(F.size(F.filter(F.lit(steps), lambda b, v=value: v > b)) if steps else F.lit(0))
+    for d in dims:
+        value = F.col(d) if d in texts else F.col(d).cast("double")
+        above = F.filter(F.lit(steps[d]), lambda b, v=value: v > b) if steps[d] else F.array()
+        cells.append(F.size(above))
     return df.withColumn("_cells", F.array(*cells))
 
 

@@ -9,11 +9,27 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from contraluz.llm import hilbert, packing
 from contraluz.llm.queries import tokenizer_path
 from contraluz.llm.ranking import global_rank
 
 
+def test_long_common_prefixes_are_told_apart(spark):
+    rows = [(i, f"https://example.org/a/very/long/path/source_{i % 40:03d}", "en", i) for i in range(4000)]
+    rows += [(5000, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long").withColumn("text", F.lit("t"))
+    placed = hilbert.shard(frame.withColumn("shard", F.lit("x")), shards=10)
+    boxes = hilbert.manifest(placed)
+    wanted = "https://example.org/a/very/long/path/source_003"
+    few = {r["shard"] for r in hilbert.shards_to_read(boxes, "source", wanted, wanted).collect()}
+    true = {r["shard"] for r in placed.where(F.col("source") == wanted).collect()}
+    assert true <= few and len(few) < 6
+    bounds = hilbert._string_bounds(frame, "source", 5)
+    assert len(bounds) == 31 and bounds == sorted(bounds)
+
+
 def test_curve_visits_every_cell_once_by_unit_steps():
     for dims, bits in ((2, 3), (3, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
