@@ -72,16 +72,32 @@ def expanded_tokens(part: Column) -> Column:
     return F.greatest(F.coalesce(size, F.lit(1)), F.lit(1)).cast("long")
 
 
-def _visit(part: Column) -> Column:
-    """What a part becomes. A part of unknown kind is its text; a null part is nothing."""
-    seen = F.when(part["kind"] == "image", F.lit(PLACEHOLDERS["image"]))
-    for kind in ("audio", "document"):
+def _placeholder(part: Column) -> Column:
+    """What an attachment becomes; null for a text, for a part of unknown kind and for a null part."""
+    image, *others = PLACEHOLDERS
+    seen = F.when(part["kind"] == image, F.lit(PLACEHOLDERS[image]))
+    for kind in others:
         seen = seen.when(part["kind"] == kind, F.lit(PLACEHOLDERS[kind]))
-    return seen.otherwise(F.coalesce(escape(part["text"]), F.lit("")))
+    return seen
 
 
 def flattened(parts: Column) -> Column:
-    return F.concat_ws("", F.transform(parts, _visit))
+    """The parts in order as one string: placeholders, and escaped runs of text between them.
+
+    Adjacent texts are put together before they are escaped, so that no control string can arise, or
+    be taken for an escaped one, where two of them meet. A part of unknown kind is its text.
+    """
+
+    def visit(seen: Column, part: Column) -> Column:
+        mark = _placeholder(part)
+        text = F.concat(seen["run"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(seen["done"], escape(seen["run"]), mark)
+        return F.when(mark.isNull(), F.struct(seen["done"].alias("done"), text.alias("run"))).otherwise(
+            F.struct(closed.alias("done"), F.lit("").alias("run"))
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    return F.aggregate(parts, start, visit, lambda seen: F.concat(seen["done"], escape(seen["run"])))
 
 
 def attachments(parts: Column) -> Column:

@@ -38,12 +38,21 @@ VOID = {
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 APART_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
-    "promo", "promotion", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb",
+    "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb",
     "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "gdpr", "notice",
     "notification", "alert", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal",
     "overlay", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination",
     "pager", "search", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "dialog", "toc",
 }
+# the last word of a compound names the thing; if it only says "box", the words before it do
+BOX_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "bottoms", "button", "buttons", "col", "column",
+    "container", "entries", "entry", "form", "group", "holder", "icons", "inner", "item", "items", "left",
+    "links", "list", "module", "outer", "panel", "region", "right", "row", "section", "slot", "thread",
+    "tools", "top", "unit", "wrap", "wrapper", "zone",
+}
+# compounds with these say how a page is laid out, not what is inside
+LAYOUT_WORDS = {"has", "no", "not", "with", "without", "by", "is", "js"}
 READER_WORDS = {"comment", "comments", "disqus", "respond", "replies", "reply"}
 MAIN_WORDS = {"article", "main", "post", "entry", "story", "content", "articlebody"}
 
@@ -66,11 +75,26 @@ LABELLED = [
     (7, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1), (9, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1),
     (50, 0.0, 0, 0.0, 45, 0.0, 0, 0, 0, 1), (45, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1),
     (16, 0.0, 18, 0.0, 20, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 44, 0.0, 0, 0, 0, 1),
+    # short texts among texts: lists, short paragraphs, a heading and what is below it
+    (3, 0.0, 40, 0.0, 4, 0.0, 0, 0, 0, 1), (4, 0.0, 3, 0.0, 3, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 4, 0.0, 45, 0.0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 6, 0.0, 0, 0, 1, 1),
+    (6, 0.0, 3, 0.0, 7, 0.0, 0, 0, 0, 1), (7, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 12, 0.0, 2, 0.2, 0, 0, 0, 1), (2, 0.2, 2, 0.0, 9, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (12, 0.3, 30, 0.0, 22, 0.1, 0, 0, 0, 1),
+    (8, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 1), (9, 0.0, 8, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (6, 0.0, 4, 0.0, 1, 1.0, 0, 0, 0, 1), (33, 0.1, 3, 1.0, 3, 1.0, 0, 0, 0, 1),
+    (26, 0.0, 2, 0.9, 2, 0.9, 0, 0, 0, 1), (21, 0.0, 5, 1.0, 1, 1.0, 0, 0, 0, 1),
+    (2, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 25, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 2, 1.0, 35, 0.0, 0, 0, 0, 1), (1, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 1),
+    # among links: menus, lists of links, a word between two of them, the line at the end of a page
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (10, 0.9, 8, 0.8, 9, 1.0, 0, 0, 0, 0),
     (40, 0.8, 3, 1.0, 9, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 2, 1.0, 3, 0.9, 0, 0, 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (6, 0.0, 2, 0.9, 3, 0.8, 0, 0, 0, 0), (9, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
     (2, 1.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0), (25, 0.7, 40, 0.0, 30, 0.6, 0, 0, 0, 0),
     (4, 0.0, 5, 0.9, 3, 0.9, 0, 0, 1, 0), (15, 0.9, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0),
+    (2, 1.0, 44, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.7, 8, 0.0, 2, 1.0, 0, 0, 0, 0),
 ]
 
 
@@ -159,6 +183,27 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _NAME = re.compile(r"[a-z]+")
 
 
+def named_side(value: str) -> tuple[str, bool]:
+    """What a class, id or role says: "article", "apart" or neither, and whether readers write inside.
+
+    Each compound is read by its last word; ``main-content`` is content, ``cookie-bar`` is about cookies
+    and ``legal-text`` is a text. Layout compounds like ``has-sidebar`` say nothing.
+    """
+    sides, reader = set(), False
+    for token in value.split():
+        words = _NAME.findall(token)
+        if not words or LAYOUT_WORDS & set(words):
+            continue
+        head = words[-1]
+        named = words if head in BOX_WORDS else [head]
+        reader |= any(w in READER_WORDS for w in named)
+        if any(w in APART_WORDS for w in named):
+            sides.add("apart")
+        elif any(w in MAIN_WORDS for w in named):
+            sides.add("article")
+    return ("apart" if "apart" in sides else "article" if sides else ""), reader
+
+
 def _opened(name: str, attributes: str) -> _Open:
     out = _Open(name, "apart" if name in APART else "article" if name in MAIN else "")
     if not attributes.strip():
@@ -173,12 +218,10 @@ def _opened(name: str, attributes: str) -> _Open:
         ):
             out.hidden = True
         if key in ("class", "id", "role", "itemprop") and name not in ("html", "body"):
-            words = set(_NAME.findall(value))
-            out.reader |= bool(words & READER_WORDS)
-            if words & APART_WORDS:
-                out.side = "apart"
-            elif words & MAIN_WORDS and not out.side:
-                out.side = "article"
+            side, reader = named_side(value)
+            out.reader |= reader
+            if side == "apart" or side and not out.side:
+                out.side = side
     return out
 
 

@@ -1,11 +1,16 @@
 """Toxicity scores from a bidirectional gated recurrent network (operator 5).
 
 A word's input is a learned hashed word vector beside the mean of the learned vectors of its character
-n-grams. Two gated recurrent layers read each window of ``width`` words, one in each direction;
-attention pools their states and a logistic layer scores the window. Windows overlap and cover the
-whole text; a document scores as its worst window. Labels are known for documents only, so training
-alternates: the network chooses the windows that stand for each document, and is fitted to them.
-Forward and backward passes, and the optimiser, are numpy.
+n-grams. Two gated recurrent layers read the text, one in each direction; for every window of ``width``
+words, whatever word it starts at, attention pools the states of its words and a logistic layer scores
+the result. A document scores as its worst window. Labels are known for documents only, so training
+alternates: the network chooses the windows that stand for each document, and is fitted to them, each
+read with some words around it. Forward and backward passes, and the optimiser, are numpy.
+
+Each word is projected once. Runs over a text are short and side by side: a segment of words in either
+direction, begun ``around`` words early as in training, so that a word's states depend on what stands near
+it and not on how long the text is. A window's score is a ratio of two sums
+over its words; running sums give those of all overlapping windows.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,16 +34,17 @@ FOLDS, HELD_OUT = 3, 1
 REJECT = 0.7
 RARE = "\x03rare"
 _CACHED = 150_000
-_ROWS = 128
-_WINDOWS = 2048
+_ROWS = 256
 # ASCII that is no letter or digit ends a word; capitals are lowered before
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
 class Settings:
-    width: int = 24
-    stride: int = 18
+    width: int = 16
+    draw: int = 12  # distance of the windows that training draws from at first
+    around: int = 16  # words that training reads before and after a window
+    segment: int = 24  # words whose states one run gives, after as many words as training reads first
     word_buckets: int = 1 << 15
     char_buckets: int = 1 << 16
     word_dim: int = 8
@@ -46,7 +53,7 @@ class Settings:
     low: int = 3
     high: int = 5
     warm_up: int = 200  # batches of windows that share their document's label
-    rounds: int = 4  # of choosing windows anew
+    rounds: int = 5  # of choosing windows anew
     steps: int = 60  # batches in a round
     batch: int = 128
     rate: float = 0.01
@@ -60,7 +67,7 @@ def words_of(text: str | None) -> list[str]:
     return raw.decode("utf-8", "surrogatepass").split(" ") if raw.strip() else []
 
 
-def window_starts(n: int, width: int, stride: int) -> np.ndarray:
+def window_starts(n: int, width: int, stride: int = 1) -> np.ndarray:
     """Starts of windows over ``n`` words, the last one flush with the end; a short text has one."""
     if n <= width:
         return np.zeros(1, np.int64)
@@ -126,29 +133,62 @@ def _direction(x: np.ndarray, mask: np.ndarray | None, rec: np.ndarray, keep: li
     return out
 
 
-def _pool(out: np.ndarray, mask: np.ndarray | None, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pool(out: np.ndarray, pool: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Attention weights, pooled states and logits of windows; ``out`` is (steps, windows, 2 hidden)."""
-    e = out @ p["attend"]
-    if mask is not None:
-        e = np.where(mask, e, -30.0)
-    a = np.exp(e - e.max(axis=0))
-    a /= a.sum(axis=0)
+    e = np.where(pool, out @ p["attend"], -30.0)
+    a = np.exp(e - e.max(axis=0)) * pool
+    a /= np.maximum(a.sum(axis=0), 1e-30)
     pooled = np.einsum("tn,tnh->nh", a, out)
     return a, pooled, pooled @ p["out"] + p["shift"][0]
 
 
-def forward(xf: np.ndarray, xb: np.ndarray, mask: np.ndarray | None, p: dict, keep: dict | None = None):
-    """Logits of windows from projected inputs (steps, windows, 3 * hidden)."""
+def forward(
+    xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, pool: np.ndarray, p: dict, keep: dict | None = None
+):
+    """Logits of windows from projected inputs (steps, windows, 3 * hidden).
+
+    ``mask`` tells the steps that are words, ``pool`` those that belong to the window.
+    """
     kf, kb = ([], []) if keep is not None else (None, None)
     of = _direction(xf, mask, p["rec_f"], kf)
-    ob = _direction(xb[::-1], None if mask is None else mask[::-1], p["rec_b"], kb)[::-1]
+    ob = _direction(xb[::-1], mask[::-1], p["rec_b"], kb)[::-1]
     out = np.concatenate([of, ob], axis=2)
-    a, pooled, logits = _pool(out, mask, p)
+    a, pooled, logits = _pool(out, pool, p)
     if keep is not None:
         keep.update(out=out, a=a, pooled=pooled, f=kf, b=kb)
     return logits
 
 
+def _read(
+    x: np.ndarray, at: np.ndarray, begin: np.ndarray, count: np.ndarray, warm: np.ndarray, way: int, rec: np.ndarray
+) -> np.ndarray:
+    """States of all words in one direction; lanes side by side, the longest first.
+
+    A lane reads ``count`` words from ``begin`` in direction ``way``; the states of the first ``warm`` of
+    them belong to another lane. ``x`` has projected words, ``at`` the word of each place.
+    """
+    order = np.argsort(-count, kind="stable")
+    begin, count, warm = begin[order], count[order], warm[order]
+    h = x.shape[1] // 3
+    out, state = np.empty((len(at), h), np.float32), np.zeros((len(begin), h), np.float32)
+    late = int(warm.max()) if len(warm) else 0
+    live = np.searchsorted(-count, -np.arange(int(count[0]) if len(count) else 0), side="left")
+    for t, n in enumerate(live.tolist()):
+        places = begin[:n] + way * t
+        now, before = x[at[places]], state[:n]
+        g = before @ rec
+        gates = _sigmoid(now[:, : 2 * h] + g[:, : 2 * h])
+        new = np.tanh(now[:, 2 * h :] + gates[:, :h] * g[:, 2 * h :])
+        after = new + gates[:, h:] * (before - new)
+        state[:n] = after
+        if t < late:
+            own = warm[:n] <= t
+            out[places[own]] = after[own]
+        else:
+            out[places] = after
+    return out
+
+
 def _direction_back(grad: np.ndarray, mask: np.ndarray, rec: np.ndarray, kept: list):
     """Gradients of one direction: of the projected inputs, and of the recurrent matrix."""
     steps, n, h = grad.shape
@@ -168,12 +208,14 @@ def _direction_back(grad: np.ndarray, mask: np.ndarray, rec: np.ndarray, kept: l
     return d_x, d_rec
 
 
-def gradients(places: np.ndarray, mask: np.ndarray, target: np.ndarray, inputs: Inputs, p: dict, s: Settings):
+def gradients(
+    places: np.ndarray, mask: np.ndarray, pool: np.ndarray, target: np.ndarray, inputs: Inputs, p: dict, s: Settings
+):
     """Gradients of the mean logistic loss on windows; ``places`` (steps, windows) index ``inputs``."""
     e = inputs.vectors(p)
     xf, xb = (e @ p["in_f"] + p["bias_f"])[places], (e @ p["in_b"] + p["bias_b"])[places]
     keep: dict = {}
-    logits = forward(xf, xb, mask, p, keep)
+    logits = forward(xf, xb, mask, pool, p, keep)
     n, h = len(target), s.hidden
     d = ((_sigmoid(logits) - target) / n).astype(np.float32)
     g = {"out": keep["pooled"].T @ d, "shift": np.array([d.sum()])}
@@ -261,31 +303,43 @@ class ToxicityModel:
     scale: float = 1.0
     offset: float = 0.0
 
+    def states(self, at: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Of every word, how much attention it gets and what its states add to a logit.
+
+        ``at`` holds the words of all texts, one text after the other.
+        """
+        s, p, h = self.settings, self.p, self.settings.hidden
+        ends = np.cumsum(sizes)
+        pieces = -(-sizes // s.segment)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        first = ends[text] - sizes[text]
+        low = first + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * s.segment
+        high = np.minimum(low + s.segment, ends[text])
+        before, after = np.minimum(s.around, low - first), np.minimum(s.around, ends[text] - high)
+        f = _read(vocabulary.f, at, low - before, high - low + before, before, 1, p["rec_f"])
+        b = _read(vocabulary.b, at, high + after - 1, high - low + after, after, -1, p["rec_b"])
+        parts = [f @ p[k][:h] + b @ p[k][h:] for k in ("attend", "out")]
+        return parts[0].astype(np.float64), parts[1].astype(np.float64)
+
     def windows(self, texts: list[str | None], vocabulary: Vocabulary):
         """Logit of every window of the texts, the text each belongs to, and where it starts."""
         s = self.settings
         split = [[w for w in words_of(t) if w] for t in texts]
         vocabulary.learn(set().union(*split))
         place = vocabulary.place
-        at = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in split]
-        starts = [window_starts(len(w), s.width, s.stride) for w in split]
-        owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
-        base = np.cumsum([0, *(len(w) for w in split)])
-        whole = np.concatenate([*at, np.zeros(s.width, np.int64)])
-        first = np.concatenate(starts)
-        size = np.array([len(w) for w in split])[owner]
-        logits = np.empty(len(owner), np.float32)
-        steps = np.arange(s.width)[:, None]
-        short = size < s.width
-        for group, masked in ((np.flatnonzero(~short), False), (np.flatnonzero(short), True)):
-            for i in range(0, len(group), _WINDOWS):
-                rows = group[i : i + _WINDOWS]
-                places = whole[(base[owner[rows]] + first[rows])[None, :] + steps]
-                mask = steps < size[rows][None, :] if masked else None
-                if masked:
-                    places = np.where(mask, places, 0)
-                logits[rows] = forward(vocabulary.f[places], vocabulary.b[places], mask, self.p)
-        return logits, owner, first
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        attention, value = self.states(at, sizes, vocabulary)
+        weight = np.exp(np.clip(attention, -30, 30))
+        total = np.append(0, np.cumsum(weight))
+        worth = np.append(0, np.cumsum(weight * value))
+        many = np.maximum(sizes - s.width + 1, 1)
+        owner = np.repeat(np.arange(len(texts)), many)
+        first = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        low = (np.cumsum(sizes) - sizes)[owner] + first
+        high = low + np.minimum(s.width, sizes[owner])
+        share = (worth[high] - worth[low]) / np.maximum(total[high] - total[low], 1e-30)
+        return share + float(self.p["shift"][0]), owner, first
 
     def scores(self, texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
         logits, owner, _ = self.windows(texts, vocabulary)
@@ -323,17 +377,21 @@ def train(texts: list[str], labels: np.ndarray, s: Settings | None = None) -> To
     optimiser = Optimiser(p, s.rate, s.table_rate)
     for chosen, steps in _curriculum(model, texts, split, labels, learn, rng):
         for part in _batches(chosen, labels, steps, s.batch, rng):
-            words = [split[i][a : a + s.width] for i, a in part]
+            begin = [max(0, a - s.around) for _, a in part]
+            words = [split[i][b : a + s.width + s.around] for (i, a), b in zip(part, begin, strict=True)]
             distinct = sorted(set().union(*words))
             if not distinct:
                 continue
             index = {w: i for i, w in enumerate(distinct)}
-            places, mask = np.zeros((s.width, len(part)), np.int64), np.zeros((s.width, len(part)), bool)
-            for j, row in enumerate(words):
+            steps_in = s.width + 2 * s.around
+            places = np.zeros((steps_in, len(part)), np.int64)
+            mask, pool = np.zeros(places.shape, bool), np.zeros(places.shape, bool)
+            for j, (row, (_, a), b) in enumerate(zip(words, part, begin, strict=True)):
                 places[: len(row), j] = [index[w] for w in row]
                 mask[: len(row), j] = True
+                pool[a - b : min(len(row), a - b + s.width), j] = True
             target = labels[[i for i, _ in part]].astype(np.float32)
-            g, _ = gradients(places, mask, target, Inputs(distinct, s, rare), p, s)
+            g, _ = gradients(places, mask, pool, target, Inputs(distinct, s, rare), p, s)
             optimiser.step(g)
     return _calibrated(model, texts, labels, np.flatnonzero(kept) if kept.any() else learn)
 
@@ -380,21 +438,31 @@ def _curriculum(model, texts, split, labels, learn, rng) -> Iterator[tuple[list,
     """Windows to draw from and how often: at first all, then those that stand for their texts."""
     s = model.settings
     yield [
-        (i, int(a)) for i in learn for a in window_starts(len(split[i]), s.width, s.stride)
+        (i, int(a)) for i in learn for a in window_starts(len(split[i]), s.width, s.draw)
     ], s.warm_up
     for _ in range(s.rounds):
         chosen, vocabulary = [], Vocabulary(model.p, s)
         for part in in_chunks(learn.tolist(), _ROWS):
-            logits, owner, first = model.windows([texts[i] for i in part], vocabulary)
+            logits, owner, _ = model.windows([texts[i] for i in part], vocabulary)
             for j, i in enumerate(part):
-                own = np.flatnonzero(owner == j)
-                ranked = own[np.argsort(-logits[own])]
-                chosen += [(i, int(first[w])) for w in ranked[: 1 if labels[i] else 3]]
-                if not labels[i] and len(ranked) > 3:
-                    chosen.append((i, int(first[rng.choice(ranked[3:])])))
+                own = slice(*np.searchsorted(owner, [j, j + 1]))
+                worst = _apart(logits[own], s.width, 1 if labels[i] else 3)
+                chosen += [(i, a) for a in worst]
+                if not labels[i]:
+                    chosen.append((i, int(rng.integers(0, own.stop - own.start))))
         yield chosen, s.steps
 
 
+def _apart(logits: np.ndarray, width: int, count: int) -> list[int]:
+    """Starts of the ``count`` highest windows that don't overlap."""
+    left, found = logits.copy(), []
+    while len(found) < count and np.isfinite(top := left.max()):
+        a = int(np.flatnonzero(left == top)[0])
+        found.append(a)
+        left[max(0, a - width + 1) : a + width] = -np.inf
+    return found
+
+
 def _calibrated(model: ToxicityModel, texts: list[str], labels: np.ndarray, rows: np.ndarray) -> ToxicityModel:
     """Logistic fit of scale and offset to whole texts that the network wasn't trained on."""
     vocabulary, worst = Vocabulary(model.p, model.settings), []
@@ -405,11 +473,14 @@ def _calibrated(model: ToxicityModel, texts: list[str], labels: np.ndarray, rows
         worst.append(top)
     x, y = np.concatenate(worst), labels[rows].astype(float)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    scale, offset = 1.0, 0.0
-    for _ in range(300):
-        error = (1 / (1 + np.exp(-np.clip(scale * x + offset, -60, 60))) - y) * weight
-        scale -= 0.05 * ((error * x).mean() + 0.02 * (scale - 1))
-        offset -= 0.1 * error.mean()
+    fit = np.array([1.0, 0.0])
+    columns, pull = np.stack([x, np.ones(len(x))], 1), np.array([0.004, 1e-4])
+    for _ in range(60):  # Newton's method, damped by bounding each step
+        share = 1 / (1 + np.exp(-np.clip(columns @ fit, -60, 60)))
+        slope = columns.T @ ((share - y) * weight) / len(x) + pull * (fit - [1.0, 0.0])
+        bend = (columns * (weight * share * (1 - share))[:, None]).T @ columns / len(x) + np.diag(pull)
+        fit -= np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+    scale, offset = fit
     return ToxicityModel(model.p, model.settings, max(float(scale), 0.1), float(offset))
 
 
@@ -435,6 +506,7 @@ def scored(docs: DataFrame, model: ToxicityModel, name: str = "score", text: str
     """``docs`` with the toxicity of each whole text in column ``name``.
 
     Rows are scored where they are, in one pass. Null and empty texts have one window without words;
-    repeated rows get the same score; an empty table stays empty.
+    repeated rows get the same score; an empty table stays empty. A very long text is read in segments,
+    so it takes time and memory in proportion to its words.
     """
     return docs.withColumn(name, _score_udf(model)(F.col(text)))

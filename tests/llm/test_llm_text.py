@@ -61,13 +61,15 @@ def test_network_gradients():
     inputs = toxicity.Inputs(["ab", "cde", "f", "xy"], s)
     places, mask = rng.integers(0, 4, (5, 3)), np.ones((5, 3), bool)
     mask[3:, 1] = False
+    pool = mask.copy()
+    pool[0, 0] = pool[3:, 2] = False
     target = np.array([1.0, 0.0, 1.0])
-    found, _ = toxicity.gradients(places, mask, target, inputs, p, s)
+    found, _ = toxicity.gradients(places, mask, pool, target, inputs, p, s)
 
     def loss():
         e = inputs.vectors(p).astype(float)
         x = [(e @ p[f"in_{d}"] + p[f"bias_{d}"])[places] for d in "fb"]
-        logits = toxicity.forward(*x, mask, p)
+        logits = toxicity.forward(*x, mask, pool, p)
         return np.mean(np.log1p(np.exp(logits)) - target * logits)
 
     for k in ("rec_f", "rec_b", "in_f", "in_b", "bias_f", "bias_b", "attend", "out", "shift"):
@@ -80,6 +82,69 @@ def test_network_gradients():
         p[k][at] = was
 
 
+def naive_windows(model, text):
+    """Logits of all windows of one text: both networks word by word in every segment, begun some words
+    early, then attention window by window."""
+    s, p = model.settings, model.p
+    words = [w for w in toxicity.words_of(text) if w]
+    if not words:
+        return [float(p["shift"][0])]
+    e = toxicity.Inputs(words, s).vectors(p).astype(float)
+    h, sides = s.hidden, []
+    for way in ("f", "b"):
+        x = e @ p[f"in_{way}"] + p[f"bias_{way}"]
+        found = np.zeros((len(words), h))
+        for low in range(0, len(words), s.segment):
+            high = min(low + s.segment, len(words))
+            before, after = max(0, low - s.around), min(len(words), high + s.around)
+            state = np.zeros(h)
+            for t in range(before, high) if way == "f" else range(after - 1, low - 1, -1):
+                g = state @ p[f"rec_{way}"]
+                r, z = 1 / (1 + np.exp(-(x[t, :h] + g[:h]))), 1 / (1 + np.exp(-(x[t, h : 2 * h] + g[h : 2 * h])))
+                new = np.tanh(x[t, 2 * h :] + r * g[2 * h :])
+                state = (1 - z) * new + z * state
+                if low <= t < high:
+                    found[t] = state
+        sides.append(found)
+    states = np.concatenate(sides, 1)
+    logits = []
+    for a in range(max(1, len(words) - s.width + 1)):
+        part = states[a : a + s.width]
+        weight = np.exp(part @ p["attend"])
+        logits.append(float((weight / weight.sum()) @ part @ p["out"] + p["shift"][0]))
+    return logits
+
+
+def test_every_window_as_a_naive_scorer_has_it():
+    s = toxicity.Settings(width=6, hidden=4, word_dim=4, char_dim=4, word_buckets=64, char_buckets=64)
+    rng = np.random.default_rng(3)
+    p = {k: rng.normal(0, 0.6, v).astype(np.float32) for k, v in toxicity._shapes(s).items()}
+    model = toxicity.ToxicityModel(p, s)
+    pick = random.Random(2)
+    texts = [" ".join(pick.choice(WORDS) for _ in range(n)) for n in (1, 5, 6, 7, 40, 250)] + ["", None, "...", "ka"]
+    logits, owner, first = model.windows(texts, toxicity.Vocabulary(p, s))
+    for i, text in enumerate(texts):
+        want = naive_windows(model, text)
+        assert first[owner == i].tolist() == list(range(len(want)))
+        assert logits[owner == i] == pytest.approx(want, abs=1e-4)
+    scores = model.scores(texts, toxicity.Vocabulary(p, s))
+    assert scores == pytest.approx([1 / (1 + np.exp(-max(naive_windows(model, t)))) for t in texts], abs=1e-4)
+
+
+def test_toxicity_wherever_a_text_stands():
+    model = toxicity.train(*invented(240), toxicity.Settings(warm_up=60, rounds=2, steps=20))
+    texts, labels = invented(60, seed=5)
+    vocabulary = toxicity.Vocabulary(model.p, model.settings)
+    plain = model.scores(texts, vocabulary)
+    rng = random.Random(7)
+    neutral = [rng.choice(WORDS) for _ in range(1400)]
+    for before in [*range(24), 100, 255, 256, 1300]:
+        moved = model.scores([" ".join([*neutral[:before], t]) for t in texts], vocabulary)
+        ones = labels == 1
+        assert ((moved[ones] >= toxicity.REJECT) == (plain[ones] >= toxicity.REJECT)).all()
+        assert np.abs(moved - plain)[ones].mean() < 0.05
+
+
 def test_quality_model():
     texts, labels = invented(200)
     texts += ["the the the the again again again again"] * 20
@@ -155,6 +220,56 @@ def test_page():
         html_blocks.main_blocks(odd, tree)
 
 
+PROSE = "".join(f"<p>{'word ' * 30}</p>" for _ in range(3))
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/b'>Our news</a></li></ul>"
+
+
+def test_layout_words_are_no_parts_of_a_page():
+    tree = html_blocks.default_tree()
+    for name in ("has-sidebar", "content no-sidebar", "legal-text", "page-with-ads", "search-results story", "side-by-side"):
+        assert len(html_blocks.main_blocks(f'<div class="{name}">{PROSE}</div>', tree)) == 3, name
+    for name in ("cookie-bar", "ad-slot", "nav-list", "newsletter_box", "social-links", "main-sidebar", "comments-area", "comment-list", "ad", "ads top", "sidebar-widget"):
+        assert len(html_blocks.main_blocks(f'<div class="{name}">{PROSE}</div><div>{PROSE}</div>', tree)) == 3, name
+
+
+def test_neighbours_decide_about_short_blocks():
+    tree = html_blocks.default_tree()
+    text = "<p>" + "w " * 30 + "</p>"
+    assert len(html_blocks.main_blocks(f"<div>{text}<ul><li>one two</li><li>three</li><li>four five</li></ul>{text}</div>", tree)) == 5
+    short = "<body><div><h1>Title here</h1><p>One short one.</p><p>Two short.</p><p>And the third.</p></div></body>"
+    assert html_blocks.main_blocks(short, tree) == ["Title here", "One short one.", "Two short.", "And the third."]
+    assert html_blocks.main_blocks(f"<div>{MENU}<h2>Intro</h2>{text}</div>", tree)[0] == "Intro"
+    assert html_blocks.main_blocks("<div><a>Home</a><p>or</p><a>News</a><p>or</p><a>Shop</a></div>", tree) == []
+
+
+def test_blocks_of_pages_without_an_article():
+    """Block F1 on pages of several kinds, made of parts whose role is known."""
+    tree, rng = html_blocks.default_tree(), random.Random(6)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    right = found = both = 0
+    for kind in range(60):
+        parts = [(MENU, []), (f"<div class='cookie-bar'>{words(12)}</div>", [])]
+        body = []
+        if kind % 3:
+            head = words(rng.randrange(2, 8))
+            body.append((f"<h1>{head}</h1>", [head]))
+        for _ in range(rng.randrange(2, 7)):
+            lead = words(rng.randrange(8, 60))
+            body.append((f"<p>{lead}</p>" if kind % 2 else f"<div>{lead}</div>", [lead]))
+            if rng.random() < 0.3:
+                items = [words(rng.randrange(1, 5)) for _ in range(3)]
+                body.append(("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", items))
+        shell = "<div class='page-content has-sidebar'>{}</div>" if kind % 2 else "<section>{}</section>"
+        parts.append((shell.format("".join(h for h, _ in body)), [t for _, ts in body for t in ts]))
+        parts += [(MENU, []), (f"<div id='comments'><p>{words(20)}</p></div><footer>{words(9)}</footer>", [])]
+        want = [t for _, ts in parts for t in ts]
+        got = html_blocks.main_blocks("<html><body>" + "".join(h for h, _ in parts) + "</body></html>", tree)
+        right += len(want)
+        found += len(got)
+        both += len(set(want) & set(got))
+    assert 2 * both / (right + found) > 0.97
+
+
 def test_tree_learns_its_table():
     tree, table = html_blocks.default_tree(), np.array(html_blocks.LABELLED)
     assert all(html_blocks.is_main(tree, tuple(r[:-1])) == bool(r[-1]) for r in table)
@@ -180,6 +295,19 @@ def test_escape_round_trip(spark):
     assert not any(c in r["e"] for r in got for c in held)
 
 
+def test_adjacent_texts_are_one(spark):
+    texts = [["a<|e", "nd|>b"], ["<\\", "|end|>"], ["<", "/s>"], ["<", None, "\\", "\\/s>"], ["[IN", "ST]"], ["<|", "turn", "|>"], [None], []]
+    rows = [(i, [(("text" if n % 2 else "other"), t) for n, t in enumerate(ts)] + [None]) for i, ts in enumerate(texts)]
+    rows += [(100 + i, [("text", ts[0]), ("image", "ignored"), *[("text", t) for t in ts[1:]]]) for i, ts in enumerate(texts[:6])]
+    turns = spark.createDataFrame(rows, "conv_id long, parts array<struct<kind:string,text:string>>").select(
+        "conv_id", F.lit(0).alias("turn"), F.lit("user").alias("role"), chat.typed(F.col("parts")).alias("parts"))
+    got = {r["conv_id"]: r["t"] for r in chat.format_turns(turns).select("conv_id", chat.segments(F.col("formatted")).alias("t")).collect()}
+    for i, ts in enumerate(texts):
+        assert [t["text"] for t in got[i]] == ["".join(t or "" for t in ts)]
+        if i + 100 in got:
+            assert [t["text"] for t in got[i + 100]] == [(ts[0] or "") + "<|image|>" + "".join(t or "" for t in ts[1:])]
+
+
 def test_typed_parts(spark):
     rows = [
         (1, 1, "assistant", [("text", "see <|image|>", None, None, None, None, None), ("audio", None, "a.wav", None, None, 1.5, None)], "x"),
