@@ -94,12 +94,12 @@ def quantised(df: DataFrame, dims: Sequence[str], bits: int) -> DataFrame:
     if numbers:
         row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 1000).alias(d) for d in numbers]).first()
         steps |= {d: sorted(set(row[d] or [])) for d in numbers}
-    cells = []
-    for d in dims:
+
+    def exceeded(d: str) -> Column:
         value = F.col(d) if d in texts else F.col(d).cast("double")
-        above = F.filter(F.lit(steps[d]), lambda b, v=value: v > b) if steps[d] else F.array()
-        cells.append(F.size(above))
-    return df.withColumn("_cells", F.array(*cells))
+        return F.size(F.filter(F.lit(steps[d]), lambda bound: value > bound)) if steps[d] else F.lit(0)
+
+    return df.withColumn("_cells", F.array(*[exceeded(d) for d in dims]))
 
 
 def curve_column(cells: str, bits: int) -> Column:
