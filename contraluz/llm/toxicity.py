@@ -52,10 +52,10 @@ class Settings:
     hidden: int = 8
     low: int = 3
     high: int = 5
-    warm_up: int = 200  # batches of windows that share their document's label
-    rounds: int = 5  # of choosing windows anew
-    steps: int = 60  # batches in a round
-    batch: int = 128
+    warm_up: int = 120  # batches of windows that share their document's label
+    rounds: int = 3  # of choosing windows anew
+    steps: int = 50  # batches in a round
+    batch: int = 96
     rate: float = 0.01
     table_rate: float = 1.0
     seed: int = 11
