@@ -6,8 +6,9 @@ it, and each text is put together again from the runs between its marked places.
 
 Only 128-bit hashes, ids and places are shuffled for the count and the marks, the texts once for the
 last join. The distinct count first shuffles by hash and document, so a line that a third of all
-documents share is spread, and then combines before its second shuffle. The join of lines with the
-shared hashes has one row a hash on its right, which adaptive execution splits where a hash is hot.
+documents share is spread, and then combines before its second shuffle. The shared hashes are
+written, so that their join with the lines, one row a hash on the right, is between two plain shuffles,
+which adaptive execution splits where a hash is hot.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contraluz.llm.common import ascii_lower, free_name
+from contraluz.llm.common import ascii_lower, checkpointed, free_name
 
 LEAST_CHARS = 10
 LEAST_DOCUMENTS = 2
@@ -93,7 +94,7 @@ def dedup_lines(
         least_chars,
     )
     marked = (
-        lines.join(shared_lines(lines, least_documents), _HASH)
+        lines.join(checkpointed(shared_lines(lines, least_documents)), _HASH)
         .where(F.col("_id") != F.col("_first"))
         .groupBy("_id", "_text_hash")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_places"))

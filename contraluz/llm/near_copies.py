@@ -1,13 +1,15 @@
-"""Near copies by the exact Jaccard similarity of their word shingles (pipeline, after operator 3).
+"""Near copies by the exact Jaccard similarity of their word shingles (pipeline, with operator 3).
 
 Two texts are near copies if the sets of their five-word shingles have a similarity of 0.8 or more.
 All such pairs are found by prefix filtering: with shingles in one order for all texts, rarest first,
 two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of each. Shingles
 of one text only are counted in that prefix but match nothing, so a text with over a fifth of its own
-is done. Sizes and places in the order discard more pairs; the sets of the rest are intersected.
+is done. Sizes and places in the order discard more pairs; the sets of the rest are intersected. Sets
+are computed from the texts where they are needed and never written.
 
 Texts that share a prefix shingle are a cell. Each member first meets the first one; a second round
-looks only at pairs that this left in different components. Shingles are their 64-bit hashes.
+looks only at pairs that this left in different components. Shingles are their 64-bit hashes; a text is
+known by the hash of its set, so copies are one row (a task hands on each set once).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ WIDTH = 5
 # similarity of 4/5: in whole numbers, so that pairs at the limit are decided exactly
 PART, WHOLE = 4, 5
 _PAIRS_AT_ONCE = 1 << 18
-_BROADCAST = 1 << 20  # counted rows up to which ids are sent to the sets, not the sets shuffled
+_BROADCAST = 1 << 20  # counted ids up to which they are sent to the texts, not the texts shuffled
 _SHARED = pa.schema([("row", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 _SET = T.StructType().add("node", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -54,12 +56,17 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
+def _name(shingles: np.ndarray) -> int:
+    """Hash of a set, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
 @F.pandas_udf(_SET)
 def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         found = [shingle_set(text) for text in texts]
-        nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found]
-        yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "shingles": found})
+        nodes = np.array([_name(s) for s in found], np.int64)
+        yield pd.DataFrame({"node": nodes, "shingles": found})
 
 
 def _cells(
@@ -113,7 +120,7 @@ def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         token, row, n, at = columns[:4]
         starts, sizes = _bounds(token)
         left, right = np.repeat(starts, sizes), np.arange(len(token))
-        keep = (left != right) & _possible(n, at, left, right)
+        keep = (row[left] != row[right]) & _possible(n, at, left, right)
         pairs = np.unique(np.stack([row[left[keep]], row[right[keep]]], 1), axis=0)
         yield pa.record_batch([pairs[:, 0], pairs[:, 1]], schema=_PAIRS)
 
@@ -150,17 +157,33 @@ def _in_cells(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "token").sortWithinPartitions(*df.columns[:2])
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+def _tokens(texts: DataFrame) -> DataFrame:
+    """``(token, row)``: the shingles of every set, copies within a task once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                shingles = shingle_set(text)
+                name = _name(shingles)
+                if len(shingles) and name not in seen:
+                    seen.add(name)
+                    rows = np.full(len(shingles), name, np.int64)
+                    yield pa.record_batch([pa.array(shingles), pa.array(rows)], ["token", "row"])
+
+    return texts.select("text").mapInArrow(work, "token long, row long")
+
+
+def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(token, row, n, at)``: prefix shingles that other texts have, of texts that can have a partner."""
-    tokens = sets.select(F.explode("shingles").alias("token"), "row")
-    shared = _in_cells(tokens).mapInArrow(_shared, "row long, token long, df long")
+    shared = _in_cells(_tokens(texts)).mapInArrow(_shared, "row long, token long, df long")
     n, own = F.col("n"), F.col("n") - F.size("list")
     least = F.floor((PART * n + WHOLE - 1) / F.lit(WHOLE))
     taken = (n - least + 1 - own).cast("int")
     listed = (
         shared.groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-        .join(sets.select("row", F.size("shingles").cast("long").alias("n")), "row")
+        .agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("list"))
+        .join(nodes.select(F.col("node").alias("row"), "n"), "row")
         .where(taken > 0)
     )
     return listed.select(
@@ -170,19 +193,16 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     )
 
 
-def _of_rows(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sets of the given distinct rows."""
-    small = rows.limit(_BROADCAST + 1).count() <= _BROADCAST
-    return sets.join(F.broadcast(rows) if small else rows, "row", "left_semi")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of rows whose sets are similar enough."""
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = _of_rows(sets, touched)
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of rows whose sets, computed again, are similar enough."""
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = checkpointed(touched.join(nodes, "node").select("id").distinct())
+    small = ids.limit(_BROADCAST + 1).count() <= _BROADCAST
+    held = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    sets = held.select(_sets(F.col("text")).alias("s")).select("s.*").dropDuplicates(["node"])
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("row").alias(name), F.col("shingles").alias(f"s{name}"))
+        return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
 
     both: Column = F.size(F.array_intersect("sa", "sb"))
     enough = (PART + WHOLE) * both >= PART * (F.size("sa") + F.size("sb"))
@@ -193,28 +213,30 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """``(id, component)`` of every row with an id: texts of similarity 0.8 or more link.
 
     The component is the smallest id that can be reached. Texts with the same set of shingles link,
-    those without words among them.
+    those without words among them (null and empty texts are such). A very long text is one set in
+    its task; a shingle that very many texts share is one cell. Repeated rows each come back; rows of
+    one id with different texts are rows of their own. An empty table gives no rows. Only the two
+    columns named are read, so others may have any name. ``docs`` is read several times: hand in a
+    written table.
     """
-    known = docs.where(F.col(id_column).isNotNull())
-    found = checkpointed(
-        known.select(F.col(id_column).alias("id"), _sets(F.col(text)).alias("s"))
-        .select("id", "s.*")
-        .withColumn("row", F.monotonically_increasing_id())
+    texts = docs.where(F.col(id_column).isNotNull()).select(
+        F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")
     )
-    nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row")))
-    sets = _of_rows(found.select("row", "shingles"), nodes.select("row"))
-    index = checkpointed(_prefixes(sets))
+    named_sets = texts.select("id", _sets(F.col("text")).alias("s"))
+    found = checkpointed(named_sets.select("id", "s.node", F.size("s.shingles").cast("long").alias("n")))
+    nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    index = checkpointed(_prefixes(texts, nodes))
     first = checkpointed(_in_cells(index).mapInArrow(_leader_pairs, "a long, b long").distinct())
-    links = checkpointed(_similar(first, sets))
+    links = checkpointed(_similar(first, nodes, texts))
     parts = connected_components(links).select(F.col("a").alias("row"), "component")
     labelled = index.join(parts, "row", "left").select(
         "token", "row", "n", "at", F.coalesce("component", "row").alias("component")
     )
     others = _in_cells(labelled).mapInArrow(_other_pairs, "a long, b long").distinct()
     rest = checkpointed(others.join(first, ["a", "b"], "left_anti"))
-    whole = connected_components(links.unionAll(_similar(rest, sets)))
-    named = nodes.join(whole, nodes["row"] == whole["a"], "left").select(
-        "node", "id", F.coalesce("component", "row").alias("group")
+    whole = connected_components(links.unionAll(_similar(rest, nodes, texts)))
+    named = nodes.join(whole, nodes["node"] == whole["a"], "left").select(
+        "node", "id", F.coalesce("component", "node").alias("group")
     )
     least = named.groupBy("group").agg(F.min("id").alias("component"))
     labels = named.select("node", "group").join(least, "group").select("node", "component")
