@@ -1,4 +1,4 @@
-"""Six stages that turn raw documents into packed training sequences.
+"""Five stages that turn raw documents into packed training sequences.
 
 Each stage works on all its predecessor kept. Models are fitted on labelled rows of the whole documents
 table outside their held-out folds, never on what a stage hands on.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from contraluz.llm import decontaminate, near_copies, packing, quality, simhash, toxicity
 from contraluz.llm.common import free_name, table
+from contraluz.llm.components import connected_components
 from contraluz.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,13 +38,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id (operator 3)."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of near-duplicates the document with the smallest id (operator 3).
 
-
-def drop_similar(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of a 5-word similarity of 0.8 or more the document with the smallest id."""
-    return near_copies.one_of_each_group(docs)
+    Fingerprints that differ in at most 3 bits link, and so do texts with a similarity of 0.8 or more
+    over five words; a group is what either kind of link reaches.
+    """
+    found = simhash.near_duplicates(docs), near_copies.near_copies(docs)
+    links = [f.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")) for f in found]
+    gone = connected_components(links[0].unionAll(links[1])).select(F.col("a").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -62,7 +65,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality", keep_quality),
     ("simhash", drop_near_copies),
-    ("similarity", drop_similar),
     ("decontamination", drop_contaminated),
     ("packing", pack_sequences),
 ]
