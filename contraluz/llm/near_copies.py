@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,6 +33,8 @@ PART, WHOLE = 4, 5
 _PAIRS_AT_ONCE = 1 << 18
 _BROADCAST = 1 << 20  # counted ids up to which they are sent to the texts, not the texts shuffled
 _SHARED = pa.schema([("row", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+_TEXTS_AT_ONCE = 64  # whose sets a task holds before it hands them on
+_NAME = T.StructType().add("node", T.LongType()).add("n", T.LongType())
 _SET = T.StructType().add("node", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -61,12 +62,27 @@ def _name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-@F.pandas_udf(_SET)
-def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(_NAME)
+def _names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Hash and size of each text's set; one set is held at a time."""
     for texts in batches:
-        found = [shingle_set(text) for text in texts]
-        nodes = np.array([_name(s) for s in found], np.int64)
-        yield pd.DataFrame({"node": nodes, "shingles": found})
+        found = np.zeros((2, len(texts)), np.int64)
+        for i, text in enumerate(texts):
+            shingles = shingle_set(text.as_py())
+            found[:, i] = _name(shingles), len(shingles)
+        yield pa.StructArray.from_arrays([pa.array(row) for row in found], ["node", "n"])
+
+
+@F.arrow_udf(_SET)
+def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each text's set with its hash, handed on for a few texts at a time."""
+    for texts in batches:
+        for at in range(0, len(texts), _TEXTS_AT_ONCE):
+            found = [shingle_set(text.as_py()) for text in texts.slice(at, _TEXTS_AT_ONCE)]
+            nodes = pa.array([_name(s) for s in found], pa.int64())
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.StructArray.from_arrays([nodes, shingles], ["node", "shingles"])
 
 
 def _cells(
@@ -163,8 +179,8 @@ def _tokens(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                shingles = shingle_set(text)
+            for text in batch.column(0):
+                shingles = shingle_set(text.as_py())
                 name = _name(shingles)
                 if len(shingles) and name not in seen:
                     seen.add(name)
@@ -222,8 +238,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     texts = docs.where(F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")
     )
-    named_sets = texts.select("id", _sets(F.col("text")).alias("s"))
-    found = checkpointed(named_sets.select("id", "s.node", F.size("s.shingles").cast("long").alias("n")))
+    found = checkpointed(texts.select("id", _names(F.col("text")).alias("s")).select("id", "s.node", "s.n"))
     nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
     index = checkpointed(_prefixes(texts, nodes))
     first = checkpointed(_in_cells(index).mapInArrow(_leader_pairs, "a long, b long").distinct())

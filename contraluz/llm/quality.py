@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contraluz.llm.common import in_chunks
 from contraluz.llm.labelled import Sample, fold, labelled_texts
 from contraluz.llm.subwords import ngrams, word_buckets
 
@@ -152,12 +151,13 @@ def train(texts: list[str], labels: np.ndarray, s: Settings | None = None) -> Qu
 
 
 def _score_udf(model: QualityModel):
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary(model.weights, model.settings)
         for texts in batches:
-            parts = [model.scores(part, vocabulary) for part in in_chunks(texts.tolist(), _ROWS)]
-            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+            for at in range(0, len(texts), _ROWS):
+                part = texts.slice(at, _ROWS).to_pylist()
+                yield pa.array(model.scores(part, vocabulary), pa.float64())
 
     return score
 
