@@ -16,9 +16,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,7 @@ CAPACITY = 2048
 END = 0
 FILLINGS = 4
 NODES = 6_000
+_TEXTS_AT_ONCE = 128  # whose pieces a task holds before it hands them on
 
 # tokenising
 
@@ -111,22 +114,40 @@ _PIECE = T.ArrayType(
 )
 
 
+_PIECE_ARROW = pa.list_(
+    pa.struct(
+        [
+            ("piece", pa.int32()),
+            ("start", pa.int64()),
+            ("length", pa.int64()),
+            ("ids_crc32", pa.int64()),
+            ("ids", pa.binary()),
+        ]
+    )
+)
+
+
+@lru_cache(maxsize=1)
+def _token_ids(path: str) -> TokenIds:
+    """One encoder a worker process, whatever number of tasks it runs."""
+    return TokenIds(path)
+
+
 def _pieces_udf(path: str, capacity: int, keep_ids: bool):
-    @F.pandas_udf(_PIECE)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode, end = TokenIds(path), np.array([END], "<u4").tobytes()
+    @F.arrow_udf(_PIECE)
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode, end = _token_ids(path), np.array([END], "<u4").tobytes()
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids = encode(text or "") + end
-                row = []
-                for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + length)]
-                    row.append((i, start, length, zlib.crc32(part), part if keep_ids else None))
-                rows.append(
-                    [dict(zip(("piece", "start", "length", "ids_crc32", "ids"), r, strict=True)) for r in row]
-                )
-            yield pd.Series(rows)
+            for at in range(0, len(texts), _TEXTS_AT_ONCE):
+                rows = []
+                for text in texts.slice(at, _TEXTS_AT_ONCE):
+                    ids = encode(text.as_py() or "") + end
+                    row = []
+                    for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + length)]
+                        row.append((i, start, length, zlib.crc32(part), part if keep_ids else None))
+                    rows.append(row)
+                yield pa.array(rows, _PIECE_ARROW)
 
     return pieces
 
