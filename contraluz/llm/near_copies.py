@@ -4,12 +4,15 @@ Two texts are near copies if the sets of their five-word shingles have a similar
 All such pairs are found by prefix filtering: with shingles in one order for all texts, rarest first,
 two sets of that similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of each. Shingles
 of one text only are counted in that prefix but match nothing, so a text with over a fifth of its own
-is done. Sizes and places in the order discard more pairs; the sets of the rest are intersected. Sets
-are computed from the texts where they are needed and never written.
-
-Texts that share a prefix shingle are a cell. Each member first meets the first one; a second round
-looks only at pairs that this left in different components. Shingles are their 64-bit hashes; a text is
-known by the hash of its set, so copies are one row (a task hands on each set once).
+is done. For that order a shingle is the first 40 bits of its hash: shingles that share them are
+counted as one, which may add candidates but loses none.
+
+Texts that share a prefix shingle are a cell. Sizes, places in the order and the parities of 512 bit
+sketches rule out pairs that cannot be similar; what remains links texts into blocks, and a cell hands
+on a forest of it, never its pairs. A block gets the set of each member once, computed again from the
+text, and intersects what is not linked yet: its result is a forest as well. A block of very many
+shingles is cut into parts, each pair of which is compared. A text is known by the 64-bit hash of its
+set, so copies are one row (a task hands on each set once).
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import types as T
 
 from contraluz.llm.common import checkpointed, shuffle_partitions
 from contraluz.llm.components import connected_components
+from contraluz.llm.simhash import _merge
 
 SEED = 42
 WIDTH = 5
@@ -32,11 +36,18 @@ WIDTH = 5
 PART, WHOLE = 4, 5
 _PAIRS_AT_ONCE = 1 << 18
 _BROADCAST = 1 << 20  # counted ids up to which they are sent to the texts, not the texts shuffled
-_SHARED = pa.schema([("row", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 _TEXTS_AT_ONCE = 64  # whose sets a task holds before it hands them on
-_NAME = T.StructType().add("node", T.LongType()).add("n", T.LongType())
+_DEALT_AT_ONCE = 1 << 18  # shingles that a task deals out together
+_PART_SHINGLES = 1 << 20  # shingles that are counted together
+_BLOCK_SHINGLES = 1 << 20  # shingles of a block, or of a part of it, that are compared together
+_BITS, _BYTES = 40, 5  # of a shingle's hash, while shingles are counted
+_MOST = (1 << 23) - 1  # counts are told apart up to here
+_SKETCH = [f"s{i}" for i in range(8)]
+_NAMED = ["node", "n", "m", *_SKETCH]
+_NAME = T.StructType([T.StructField(name, T.LongType()) for name in _NAMED])
 _SET = T.StructType().add("node", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DEALT = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -62,15 +73,28 @@ def _name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
+def _tokens_of(shingles: np.ndarray) -> np.ndarray:
+    """The distinct first bits of a set's hashes; sorted hashes with equal ones are neighbours."""
+    tokens = shingles.view(np.uint64) >> np.uint64(64 - _BITS)
+    return tokens[np.append(True, tokens[1:] != tokens[:-1])] if len(tokens) else tokens
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """512 parities: two sets' sketches differ in no more bits than the sets have different shingles."""
+    odd = np.bincount(shingles & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @F.arrow_udf(_NAME)
 def _names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Hash and size of each text's set; one set is held at a time."""
+    """Hash, size, tokens and sketch of each text's set; one set is held at a time."""
     for texts in batches:
-        found = np.zeros((2, len(texts)), np.int64)
+        found = np.zeros((len(_NAMED), len(texts)), np.int64)
         for i, text in enumerate(texts):
             shingles = shingle_set(text.as_py())
-            found[:, i] = _name(shingles), len(shingles)
-        yield pa.StructArray.from_arrays([pa.array(row) for row in found], ["node", "n"])
+            found[:3, i] = _name(shingles), len(shingles), len(_tokens_of(shingles))
+            found[3:, i] = _sketch(shingles)
+        yield pa.StructArray.from_arrays([pa.array(row) for row in found], _NAMED)
 
 
 @F.arrow_udf(_SET)
@@ -85,144 +109,265 @@ def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.StructArray.from_arrays([nodes, shingles], ["node", "shingles"])
 
 
+def _column(column: pa.Array) -> np.ndarray:
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    rows = np.empty(len(column), object)
+    rows[:] = [values[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return rows
+
+
 def _cells(
-    batches: Iterator[pa.RecordBatch], work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]
+    batches: Iterator[pa.RecordBatch],
+    work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]],
+    keys: int = 1,
 ) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their first column in; ``work`` gets whole cells of it, several at a time."""
-    rest: list[np.ndarray] | None = None
+    """Rows sorted by their first columns in; ``work`` gets whole cells of these, several at a time."""
+    rest: list[list[np.ndarray]] = []
+
+    def whole() -> list[np.ndarray]:
+        return [np.concatenate(parts) for parts in zip(*rest, strict=True)]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if rest is not None:
-            columns = [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        columns = [_column(column) for column in batch.columns]
+        if rest and any(rest[-1][k][-1] != columns[k][0] for k in range(keys)):
+            yield from work(whole())
+            rest = []
+        other = np.logical_or.reduce([column != column[-1] for column in columns[:keys]])
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         if cut:
-            yield from work([column[:cut] for column in columns])
-        rest = [column[cut:] for column in columns]
-    if rest is not None:
-        yield from work(rest)
-
+            rest.append([column[:cut] for column in columns])
+            yield from work(whole())
+            rest = []
+        rest.append([column[cut:] for column in columns])
+    if rest:
+        yield from work(whole())
 
-def _bounds(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    return starts, np.diff(np.append(starts, len(token)))
 
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, sizes = _bounds(columns[0])
-        df = np.repeat(sizes, sizes)
-        keep = df > 1
-        yield pa.record_batch([columns[1][keep], columns[0][keep], df[keep]], schema=_SHARED)
-
-    return _cells(batches, work)
+def _numbered(keys: list[np.ndarray]) -> np.ndarray:
+    """Number of each row's cell, from 0."""
+    change = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    return np.cumsum(change)
 
 
-def _possible(n: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether pairs can be similar enough if this is the first shingle they share."""
-    a, b = n[left], n[right]
-    most = 1 + np.minimum(a - at[left], b - at[right])
-    return (
-        (PART * np.maximum(a, b) <= WHOLE * np.minimum(a, b))
-        & ((PART + WHOLE) * most >= PART * (a + b))
-    )
+def _pairs(cell: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within cells whose sizes allow the similarity, in parts; rows come by cell and size."""
+    far = WHOLE * int(n.max()) + 1
+    ends = np.searchsorted(cell * far + PART * n, cell * far + WHOLE * n, side="right")
+    more = ends - np.arange(len(n)) - 1
+    upto = np.append(0, np.cumsum(more))
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + _PAIRS_AT_ONCE, side="right")) - 1)
+        rows, sizes = np.arange(at, stop), more[at:stop]
+        if sizes.any():
+            left = np.repeat(rows, sizes)
+            yield left, np.arange(len(left)) - np.repeat(upto[at:stop] - upto[at], sizes) + left + 1
+        at = stop
 
 
-def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first member of each cell with every other."""
+def _forest(known: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    hung = np.flatnonzero(label != np.arange(len(label)))
+    return pa.record_batch([known[hung], known[label[hung]]], schema=_PAIRS)
 
-    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, row, n, at = columns[:4]
-        starts, sizes = _bounds(token)
-        left, right = np.repeat(starts, sizes), np.arange(len(token))
-        keep = (row[left] != row[right]) & _possible(n, at, left, right)
-        pairs = np.unique(np.stack([row[left[keep]], row[right[keep]]], 1), axis=0)
-        yield pa.record_batch([pairs[:, 0], pairs[:, 1]], schema=_PAIRS)
 
-    return _cells(batches, work)
+def _alike(sketch: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the sketches leave it open that pairs are similar enough."""
+    differ = np.bitwise_count((sketch[left] ^ sketch[right]).view(np.uint64)).sum(1, dtype=np.int64)
+    return (PART + WHOLE) * differ <= n[left] + n[right]
 
 
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a cell in different components, but for those with the first member."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the pairs of each cell that can be similar enough."""
 
     def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, row, n, at, component = columns
-        starts, sizes = _bounds(columns[0])
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            part = component[start : start + size]
-            if (part == part[0]).all():
-                continue
-            step = max(1, _PAIRS_AT_ONCE // size)
-            for first in range(1, size - 1, step):
-                left, right = np.meshgrid(
-                    np.arange(first, min(size - 1, first + step)), np.arange(first + 1, size), indexing="ij"
-                )
-                left, right = left.ravel() + start, right.ravel() + start
-                keep = (left < right) & (component[left] != component[right])
-                left, right = left[keep], right[keep]
-                keep = _possible(n, at, left, right)
-                if keep.any():
-                    yield pa.record_batch([row[left[keep]], row[right[keep]]], schema=_PAIRS)
+        token, n, row, at = columns[:4]
+        sketch = np.stack(columns[4:], 1)
+        known, code = np.unique(row, return_inverse=True)
+        label = np.arange(len(known))
+        for left, right in _pairs(_numbered([token]), n):
+            keep = label[code[left]] != label[code[right]]
+            left, right = left[keep], right[keep]
+            # the most that two sets can share if this is the first shingle they share
+            most = 1 + np.minimum(n[left] - at[left], n[right] - at[right])
+            keep = (PART + WHOLE) * most >= PART * (n[left] + n[right])
+            left, right = left[keep], right[keep]
+            keep = _alike(sketch, n, left, right)
+            if keep.any():
+                label = _merge(label, code[left[keep]], code[right[keep]])
+        yield _forest(known, label)
 
     return _cells(batches, work)
 
 
-def _in_cells(df: DataFrame) -> DataFrame:
-    parts = shuffle_partitions(df.sparkSession)
-    return df.repartition(parts, "token").sortWithinPartitions(*df.columns[:2])
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the similar pairs of each block, or of each pair of a block's parts."""
 
+    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, lo, hi, n, own, node, sets = columns
+        sketch = np.stack([_sketch(shingles) for shingles in sets])
+        known, code = np.unique(node, return_inverse=True)
+        parent = list(range(len(known)))
+        label = np.arange(len(known))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for left, right in _pairs(_numbered(columns[:3]), n):
+            keep = (label[code[left]] != label[code[right]]) & ((lo[left] == hi[left]) | (own[left] != own[right]))
+            left, right = left[keep], right[keep]
+            keep = _alike(sketch, n, left, right)
+            linked = False
+            for i, k in zip(left[keep].tolist(), right[keep].tolist(), strict=True):
+                a, b = find(code[i]), find(code[k])
+                if a != b:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if (PART + WHOLE) * both >= PART * (n[i] + n[k]):
+                        parent[max(a, b)] = min(a, b)
+                        linked = True
+            if linked:
+                label = np.array([find(x) for x in range(len(known))])
+        yield _forest(known, label)
+
+    return _cells(batches, work, 3)
+
+
+def _dealt(texts: DataFrame, parts: int) -> DataFrame:
+    """The tokens of every set dealt to parts, copies within a task once.
+
+    A row has tokens of one part of several texts, and how many each of these has in it.
+    """
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """``(token, row)``: the shingles of every set, copies within a task once."""
+    def rows(names: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(names)), [len(tokens) for tokens in lists])
+        tokens = np.concatenate(lists)
+        part = (tokens % np.uint64(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        owner, tokens, part = owner[by], tokens[by], part[by]
+        octets = tokens.view(np.uint8).reshape(-1, 8)[:, :_BYTES]
+        first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))
+        sizes = np.diff(np.append(first, len(part))).astype(np.uint32)
+        nodes = np.array(names, np.int64)[owner[first]]
+        cuts = np.flatnonzero(np.append(True, part[first][1:] != part[first][:-1]))
+        ends = np.append(cuts, len(first))
+        at = np.append(first, len(part))[ends]
+        spans = list(zip(cuts.tolist(), ends[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return pa.record_batch(
+            [
+                pa.array(part[first[cuts]]),
+                pa.array([nodes[s:e].tobytes() for s, e, _, _ in spans], pa.binary()),
+                pa.array([sizes[s:e].tobytes() for s, e, _, _ in spans], pa.binary()),
+                pa.array([octets[s:e].tobytes() for _, _, s, e in spans], pa.binary()),
+            ],
+            schema=_DEALT,
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names: list[int] = []
+        lists: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for text in batch.column(0):
                 shingles = shingle_set(text.as_py())
                 name = _name(shingles)
                 if len(shingles) and name not in seen:
                     seen.add(name)
-                    rows = np.full(len(shingles), name, np.int64)
-                    yield pa.record_batch([pa.array(shingles), pa.array(rows)], ["token", "row"])
+                    names.append(name)
+                    lists.append(_tokens_of(shingles))
+                    held += len(lists[-1])
+                if held >= _DEALT_AT_ONCE:
+                    yield rows(names, lists)
+                    names, lists, held = [], [], 0
+        if held:
+            yield rows(names, lists)
+
+    return texts.select("text").mapInArrow(work, "part int, nodes binary, sizes binary, tokens binary")
 
-    return texts.select("text").mapInArrow(work, "token long, row long")
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a part that several texts have: by text, as ``count << 40 | token``."""
+    rows, tokens = [np.zeros(0, np.int64)], [np.zeros((0, _BYTES), np.uint8)]
+    for batch in batches:
+        for nodes, sizes, octets in zip(*batch.columns[1:], strict=True):
+            names = np.frombuffer(nodes.as_py(), np.int64)
+            rows.append(np.repeat(names, np.frombuffer(sizes.as_py(), np.uint32)))
+            tokens.append(np.frombuffer(octets.as_py(), np.uint8).reshape(-1, _BYTES))
+    row = np.concatenate(rows)
+    wide = np.zeros((len(row), 8), np.uint8)
+    np.concatenate(tokens, out=wide[:, :_BYTES])
+    del rows, tokens
+    token = wide.view(np.int64).ravel()
+    by = np.lexsort((row, token))
+    row, token = row[by], token[by]
+    new = np.append(True, (row[1:] != row[:-1]) | (token[1:] != token[:-1]))[: len(row)]
+    row, token = row[new], token[new]  # copies from several tasks are one text
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    sizes = np.diff(np.append(starts, len(token)))
+    df = np.repeat(sizes, sizes)
+    keep = df > 1
+    row, key = row[keep], np.minimum(df[keep], _MOST) << _BITS | token[keep]
+    by = np.argsort(row, kind="stable")
+    row, key = row[by], key[by]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    ends = np.append(starts, len(row))
+    for at in range(0, len(starts), 1024):
+        bounds = ends[at : at + 1025]
+        lists = pa.ListArray.from_arrays(
+            pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(key[bounds[0] : bounds[-1]])
+        )
+        yield pa.record_batch([pa.array(row[bounds[:-1]]), lists], ["row", "keys"])
 
 
 def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(token, row, n, at)``: prefix shingles that other texts have, of texts that can have a partner."""
-    shared = _in_cells(_tokens(texts)).mapInArrow(_shared, "row long, token long, df long")
-    n, own = F.col("n"), F.col("n") - F.size("list")
+    """``(token, n, row, at)`` and sketch: prefix shingles that others have, of texts that can have a partner."""
+    total = nodes.agg(F.sum("m")).first()[0] or 0
+    parts = max(shuffle_partitions(nodes.sparkSession), -(-total // _PART_SHINGLES))
+    shared = _dealt(texts, parts).repartitionById(parts, "part").mapInArrow(_shared, "row long, keys array<long>")
+    n, own = F.col("n"), F.col("m") - F.size("list")
     least = F.floor((PART * n + WHOLE - 1) / F.lit(WHOLE))
     taken = (n - least + 1 - own).cast("int")
     listed = (
         shared.groupBy("row")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("list"))
-        .join(nodes.select(F.col("node").alias("row"), "n"), "row")
+        .agg(F.flatten(F.collect_list("keys")).alias("list"))
+        .join(nodes.select(F.col("node").alias("row"), "n", "m", *_SKETCH), "row")
         .where(taken > 0)
     )
-    return listed.select(
-        "row", "n", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), taken)).alias("k", "t")
-    ).select(
-        F.col("t.token").alias("token"), "row", "n", (F.col("own") + F.col("k") + 1).cast("long").alias("at")
+    first = F.slice(F.sort_array("list"), F.lit(1), taken)
+    return listed.select("row", "n", own.alias("own"), *_SKETCH, F.posexplode(first).alias("k", "token")).select(
+        "token", "n", "row", (F.col("own") + F.col("k") + 1).cast("long").alias("at"), *_SKETCH
     )
 
 
+def _in_cells(df: DataFrame, keys: list[str], by: str = "n") -> DataFrame:
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, by)
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of rows whose sets, computed again, are similar enough."""
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = checkpointed(touched.join(nodes, "node").select("id").distinct())
+    """Links that span the similar pairs among rows that ``pairs`` connect; sets are computed again."""
+    named = connected_components(pairs).select(F.col("a").alias("node"), F.col("component").alias("block"))
+    members = named.unionAll(named.select(F.col("block").alias("node"), "block").distinct()).join(nodes.select("node", "id", "n"), "node")
+    blocks = members.groupBy("block").agg(F.ceil(F.sum("n") / _BLOCK_SHINGLES).cast("int").alias("g"))
+    members = checkpointed(members.join(blocks, "block"))
+    ids = members.select("id").distinct()
     small = ids.limit(_BROADCAST + 1).count() <= _BROADCAST
     held = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
     sets = held.select(_sets(F.col("text")).alias("s")).select("s.*").dropDuplicates(["node"])
-
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
-
-    both: Column = F.size(F.array_intersect("sa", "sb"))
-    enough = (PART + WHOLE) * both >= PART * (F.size("sa") + F.size("sb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+    dealt = (
+        sets.join(members, "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        .select("block", "lo", "hi", "n", "own", "node", "shingles")
+    )
+    return _in_cells(dealt, ["block", "lo", "hi"]).mapInArrow(_links, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,18 +383,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     texts = docs.where(F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")
     )
-    found = checkpointed(texts.select("id", _names(F.col("text")).alias("s")).select("id", "s.node", "s.n"))
-    nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
-    index = checkpointed(_prefixes(texts, nodes))
-    first = checkpointed(_in_cells(index).mapInArrow(_leader_pairs, "a long, b long").distinct())
-    links = checkpointed(_similar(first, nodes, texts))
-    parts = connected_components(links).select(F.col("a").alias("row"), "component")
-    labelled = index.join(parts, "row", "left").select(
-        "token", "row", "n", "at", F.coalesce("component", "row").alias("component")
-    )
-    others = _in_cells(labelled).mapInArrow(_other_pairs, "a long, b long").distinct()
-    rest = checkpointed(others.join(first, ["a", "b"], "left_anti"))
-    whole = connected_components(links.unionAll(_similar(rest, nodes, texts)))
+    found = checkpointed(texts.select("id", _names(F.col("text")).alias("s")).select("id", "s.*"))
+    rest = [F.max(name).alias(name) for name in _NAMED[1:]]
+    nodes = checkpointed(found.groupBy("node").agg(F.min("id").alias("id"), *rest))
+    cells = _in_cells(_prefixes(texts, nodes), ["token"])
+    pairs = checkpointed(cells.mapInArrow(_candidates, "a long, b long").distinct())
+    whole = connected_components(_similar(pairs, nodes, texts))
     named = nodes.join(whole, nodes["node"] == whole["a"], "left").select(
         "node", "id", F.coalesce("component", "node").alias("group")
     )
