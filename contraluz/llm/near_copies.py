@@ -292,51 +292,48 @@ def _dealt(texts: DataFrame, parts: int) -> DataFrame:
     return texts.select("text").mapInArrow(work, "part int, nodes binary, sizes binary, tokens binary")
 
 
+def _counted(row: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+    """The rows and tokens whose token has several rows; copies from several tasks are one row."""
+    by = np.lexsort((row, token))
+    row, token = row[by], token[by]
+    new = np.append(True, (row[1:] != row[:-1]) | (token[1:] != token[:-1]))[: len(row)]
+    row, token = row[new], token[new]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    sizes = np.diff(np.append(starts, len(token)))
+    df = np.repeat(sizes, sizes)
+    keep = df > 1
+    key = np.minimum(df[keep], _MOST) << _BITS | token[keep]
+    return pa.record_batch([row[keep], key], ["row", "key"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of a part that several texts have: by text, as ``count << 40 | token``."""
+    """A part's tokens that several texts have, with these, as ``count << 40 | token``."""
     rows, tokens = [np.zeros(0, np.int64)], [np.zeros((0, _BYTES), np.uint8)]
     for batch in batches:
         for nodes, sizes, octets in zip(*batch.columns[1:], strict=True):
             names = np.frombuffer(nodes.as_py(), np.int64)
             rows.append(np.repeat(names, np.frombuffer(sizes.as_py(), np.uint32)))
             tokens.append(np.frombuffer(octets.as_py(), np.uint8).reshape(-1, _BYTES))
-    row = np.concatenate(rows)
-    wide = np.zeros((len(row), 8), np.uint8)
-    np.concatenate(tokens, out=wide[:, :_BYTES])
+    row, octets = np.concatenate(rows), np.concatenate(tokens)
     del rows, tokens
-    token = wide.view(np.int64).ravel()
-    by = np.lexsort((row, token))
-    row, token = row[by], token[by]
-    new = np.append(True, (row[1:] != row[:-1]) | (token[1:] != token[:-1]))[: len(row)]
-    row, token = row[new], token[new]  # copies from several tasks are one text
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
-    sizes = np.diff(np.append(starts, len(token)))
-    df = np.repeat(sizes, sizes)
-    keep = df > 1
-    row, key = row[keep], np.minimum(df[keep], _MOST) << _BITS | token[keep]
-    by = np.argsort(row, kind="stable")
-    row, key = row[by], key[by]
-    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
-    ends = np.append(starts, len(row))
-    for at in range(0, len(starts), 1024):
-        bounds = ends[at : at + 1025]
-        lists = pa.ListArray.from_arrays(
-            pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(key[bounds[0] : bounds[-1]])
-        )
-        yield pa.record_batch([pa.array(row[bounds[:-1]]), lists], ["row", "keys"])
+    for at in range(8):  # an eighth of the tokens at a time: sorting needs many times their bytes
+        picked = octets[:, 1] >> 5 == at
+        wide = np.zeros((int(picked.sum()), 8), np.uint8)
+        wide[:, :_BYTES] = octets[picked]
+        yield _counted(row[picked], wide.view(np.int64).ravel())
 
 
 def _prefixes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(token, n, row, at)`` and sketch: prefix shingles that others have, of texts that can have a partner."""
     total = nodes.agg(F.sum("m")).first()[0] or 0
     parts = max(shuffle_partitions(nodes.sparkSession), -(-total // _PART_SHINGLES))
-    shared = _dealt(texts, parts).repartitionById(parts, "part").mapInArrow(_shared, "row long, keys array<long>")
+    shared = _dealt(texts, parts).repartitionById(parts, "part").mapInArrow(_shared, "row long, key long")
     n, own = F.col("n"), F.col("m") - F.size("list")
     least = F.floor((PART * n + WHOLE - 1) / F.lit(WHOLE))
     taken = (n - least + 1 - own).cast("int")
     listed = (
         shared.groupBy("row")
-        .agg(F.flatten(F.collect_list("keys")).alias("list"))
+        .agg(F.collect_list("key").alias("list"))
         .join(nodes.select(F.col("node").alias("row"), "n", "m", *_SKETCH), "row")
         .where(taken > 0)
     )

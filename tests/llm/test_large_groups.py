@@ -103,3 +103,12 @@ def test_pairs_of_cells_in_parts(monkeypatch):
         monkeypatch.setattr(near_copies, "_PAIRS_AT_ONCE", limit)
         got = [pair for x, y in near_copies._pairs(cell, n) for pair in zip(x.tolist(), y.tolist(), strict=True)]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_rows_of_shared_shingles_do_not_follow_the_parts(spark, docs):
+    line = " ".join(f"w{i}" for i in range(60))
+    texts = docs([(i, f"{line} own{i} a{i} b{i} c{i}") for i in range(20)])
+    for parts in (2, 50):
+        dealt = near_copies._dealt(texts, parts).repartitionById(parts, "part")
+        found = dealt.mapInArrow(near_copies._shared, "row long, key long").collect()
+        assert len(found) == 20 * 56 and {r["key"] >> 40 for r in found} == {20}
