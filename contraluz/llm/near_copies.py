@@ -109,6 +109,10 @@ def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.StructArray.from_arrays([nodes, shingles], ["node", "shingles"])
 
 
+# else the null check of a join on ``node`` is pushed below, and a second worker makes each set again
+_sets = _sets.asNondeterministic()
+
+
 def _column(column: pa.Array) -> np.ndarray:
     if not pa.types.is_list(column.type):
         return column.to_numpy(zero_copy_only=False)

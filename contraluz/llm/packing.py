@@ -419,9 +419,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
     slots = Slots.of(solve(counts, capacity, nodes))
     ranked, _ = global_rank(pieces, ["length", "id", "piece"], name="_rank")
     before = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    starts = pieces.sparkSession.createDataFrame(
-        [(n, int(before[n])) for n in np.flatnonzero(counts).tolist()], "_n long, _before long"
-    )
+    there = np.flatnonzero(counts)
+    starts = pieces.sparkSession.createDataFrame(pa.table({"_n": there, "_before": before[there]}))
     ranked = ranked.join(F.broadcast(starts), F.col("length") == F.col("_n"))  # a row a length
     placed = _place_udf(slots)(F.col("length"), F.col("_rank") - F.col("_before"))
     return ranked.withColumn("_place", placed).select(*pieces.columns, "_place.*")

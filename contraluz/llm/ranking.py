@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,13 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> tuple[Da
         for row in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()
     )
     starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
+    for _, n in sizes:
+        starts.append(total)
         total += n
-    offsets = spark.createDataFrame(starts, "_p long, _start long")
+    # as an Arrow table: rows of Python go through Python workers of their own
+    offsets = spark.createDataFrame(
+        pa.table({"_p": pa.array([p for p, _ in sizes], pa.int64()), "_start": pa.array(starts, pa.int64())})
+    )
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     ranked = (
         placed.withColumn("_p", part)

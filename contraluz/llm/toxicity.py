@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ REJECT = 0.7
 RARE = "\x03rare"
 _CACHED = 150_000
 _ROWS = 256
+_BYTES = 1 << 17  # of the texts that are scored together, where these are several
+_LEARNED = 1 << 12  # words whose n-grams are held together
 # ASCII that is no letter or digit ends a word; capitals are lowered before
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -288,12 +291,16 @@ class Vocabulary:
         if not new:
             return
         held = len(self.place)
-        while held + len(new) > len(self.f):
-            self.f, self.b = np.concatenate([self.f, self.f]), np.concatenate([self.b, self.b])
-        e = Inputs(new, self.s).vectors(self.p)
+        if held + len(new) > len(self.f):
+            size = max(held + len(new), min(2 * len(self.f), _CACHED))
+            more = np.zeros((size - len(self.f), self.f.shape[1]), np.float32)
+            self.f, self.b = np.concatenate([self.f, more]), np.concatenate([self.b, more])
         self.place.update(zip(new, range(held, held + len(new)), strict=True))
-        self.f[held : held + len(new)] = e @ self.p["in_f"] + self.p["bias_f"]
-        self.b[held : held + len(new)] = e @ self.p["in_b"] + self.p["bias_b"]
+        for part in in_chunks(new, _LEARNED):
+            e = Inputs(part, self.s).vectors(self.p)
+            self.f[held : held + len(part)] = e @ self.p["in_f"] + self.p["bias_f"]
+            self.b[held : held + len(part)] = e @ self.p["in_b"] + self.p["bias_b"]
+            held += len(part)
 
 
 @dataclass(frozen=True)
@@ -484,13 +491,23 @@ def _calibrated(model: ToxicityModel, texts: list[str], labels: np.ndarray, rows
     return ToxicityModel(model.p, model.settings, max(float(scale), 0.1), float(offset))
 
 
+def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts in order, a few at a time: up to ``_ROWS`` and ``_BYTES``, and a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+    while at < len(texts):
+        stop = int(np.searchsorted(upto, upto[at] + _BYTES, side="right")) - 1
+        stop = min(max(stop, at + 1), at + _ROWS)
+        yield texts.slice(at, stop - at).to_pylist()
+        at = stop
+
+
 def _score_udf(model: ToxicityModel):
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary(model.p, model.settings)
         for texts in batches:
-            for at in range(0, len(texts), _ROWS):
-                part = texts.slice(at, _ROWS).to_pylist()
+            for part in _parts(texts):
                 yield pa.array(model.scores(part, vocabulary), pa.float64())
 
     return score
