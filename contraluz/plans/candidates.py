@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contraluz.functions import text
-from contraluz.plans.companies import best_name
+from contraluz.plans.companies import best_name, names_of
 from contraluz.plans.contracts import running, with_root
 from contraluz.plans.register import head_offices
 
@@ -87,8 +87,8 @@ def successor_candidates(
     offices = head_offices(establishments).select(
         "cnpj_basico", "situacao_cadastral", "data_inicio_atividade", "uf"
     )
-    wanted = roots.union(related).distinct()
-    labels = best_name(all_names.join(wanted, "cnpj_basico", "left_semi"))
+    ends = F.explode(F.array("cnpj_basico", "relacionada")).alias("cnpj_basico")
+    labels = best_name(names_of(all_names, candidates.select(ends)))
     own = labels.select("cnpj_basico", F.col("nome").alias("razao_social"))
     other = labels.select(
         F.col("cnpj_basico").alias("relacionada"), F.col("nome").alias("razao_social_relacionada")
